@@ -49,3 +49,13 @@ def words(text: Column) -> Column:
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id is in fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts, F.lit(0))
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, also where the optimizer would copy it into a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def array_literal(values, kind: str) -> Column:
+    """Constant array of numbers; the optimizer folds it into one literal."""
+    return F.split(F.lit(",".join(f"{v:.7g}" for v in values)), ",").cast(f"array<{kind}>")
