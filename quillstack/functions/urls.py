@@ -66,10 +66,14 @@ def found(text: Column) -> Column:
     """Distinct http(s) URLs of a text; trailing dots and commas, and closing brackets without an opening one, are cut."""
     raw = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)(https?://[^\s<>\[\]{}|\\\\^`\x00-\x1f\x7f]+)"), F.lit(1))
 
-    def cleaned(url):
+    def step(url):
         bare = F.regexp_replace(url, r"[.,]+$", "")
-        opens, closes = F.regexp_count(bare, F.lit(r"\(")), F.regexp_count(bare, F.lit(r"\)"))
-        return F.when(bare.endswith(")") & (opens < closes), F.regexp_replace(bare, r"[.,)]+$", F.lit(""))).otherwise(bare)
+        excess = F.regexp_count(bare, F.lit(r"\)")) - F.regexp_count(bare, F.lit(r"\("))
+        tail = F.length(F.regexp_extract(bare, r"(\)*)$", 1))
+        return F.substring(bare, F.lit(1), F.length(bare) - F.greatest(F.lit(0), F.least(excess, tail)))
+
+    def cleaned(url):  # dots and brackets may alternate: each pass cuts one layer
+        return F.aggregate(F.sequence(F.lit(1), F.lit(6)), url, lambda u, _: step(u))
 
     return F.filter(F.array_distinct(F.transform(raw, cleaned)), lambda u: ~is_subdomain(F.lower(host(u)), list(EXCLUDED)))
 
