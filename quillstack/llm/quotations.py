@@ -105,6 +105,7 @@ def threads(links: DataFrame) -> DataFrame:
 
 def link(messages: DataFrame) -> DataFrame:
     """Rows of ``messages`` (conv_id, turn, role, text) with reply_to, thread, n_quotes, n_linked and ``body``."""
+    messages = messages.select("conv_id", "turn", "role", "text")
     links = cut(replies(messages.filter("conv_id IS NOT NULL AND turn IS NOT NULL")))
     found = links.join(threads(links), ["conv_id", "turn"], "left").withColumnsRenamed({"conv_id": "__conv", "turn": "__turn"})
     out = messages.join(found, (F.col("conv_id") == F.col("__conv")) & (F.col("turn") == F.col("__turn")), "left")
