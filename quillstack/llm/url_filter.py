@@ -30,7 +30,7 @@ from ._spark import array_literal, let, lower_az, table
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 ORDER = 4
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
 A = 4.0
 ALPHABET = 128.0
 HOLD = 5

@@ -131,5 +131,6 @@ def test_score_like_plain_models(spark, data, monkeypatch):
 
 
 def test_threshold():
-    assert url_filter.threshold([(-40, 0, 9), (-10, 1, 1), (20, 9, 0)]) == -9 / url_filter.CELL
+    assert url_filter.threshold([(-40, 0, 9), (-20, 9, 0)]) == -20 / url_filter.CELL  # the border nearest to 0
+    assert url_filter.threshold([(-40, 0, 9), (-10, 1, 1), (20, 9, 0)]) == 0.0
     assert url_filter.threshold([(3, 5, 0)]) == 0.0 == url_filter.threshold([])
