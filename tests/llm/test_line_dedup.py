@@ -2,6 +2,8 @@
 
 import hashlib
 
+import pytest
+
 from quillstack.llm import line_dedup as m
 
 LONG = "This line is certainly longer than forty characters."
@@ -34,7 +36,9 @@ def run(spark, tmp_path, rows, monkeypatch=None):
     return sorted((tuple(r) for r in m.op8_line_dedup(spark, str(tmp_path)).collect()), key=str)
 
 
-def test_like_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("small", [0, 500_000])
+def test_like_brute_force(spark, tmp_path, monkeypatch, small):
+    monkeypatch.setattr(m, "SMALL", small)
     assert run(spark, tmp_path, ROWS) == brute(ROWS)
 
 
