@@ -48,6 +48,27 @@ def in_region(entities: DataFrame, regions: DataFrame, name: str) -> DataFrame:
     return points.filter(inside).select("document_id").distinct()
 
 
+def segment_km(lat: Column, lon: Column, a: Column, b: Column) -> Column:
+    """Distance to the segment a-b of [lon, lat] points, in a plane around the point."""
+    scale = F.cos(F.radians(lat)) * 111.32
+    x = lambda p: (F.get(p, F.lit(0)) - lon) * scale
+    y = lambda p: (F.get(p, F.lit(1)) - lat) * 111.32
+    dx, dy = x(b) - x(a), y(b) - y(a)
+    length = dx * dx + dy * dy
+    t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(x(a) * dx + y(a) * dy) / length))).otherwise(0.0)
+    return F.hypot(x(a) + t * dx, y(a) + t * dy)
+
+
+def near_region(entities: DataFrame, regions: DataFrame, name: str, km: float) -> DataFrame:
+    """Documents with an entity inside the region or within ``km`` of its border."""
+    shape = regions.filter(F.lower("name") == name.lower()).select(F.col("rings").alias("__rings"))
+    points = entities.filter("latitude IS NOT NULL").join(F.broadcast(shape.limit(1)))  # one region
+    lat, lon = F.col("latitude"), F.col("longitude")
+    inside = F.aggregate("__rings", F.lit(False), lambda s, r: s != in_ring(lat, lon, r))
+    close = F.exists("__rings", lambda r: F.exists(F.sequence(F.lit(0), F.size(r) - 2), lambda i: segment_km(lat, lon, F.get(r, i), F.get(r, i + 1)) <= km))
+    return points.filter(inside | close).select("document_id").distinct()
+
+
 def matching(entities: DataFrame, text: str, kind: str | None = None, exact: bool = True) -> DataFrame:
     """Documents with an entity whose normalised text equals or holds ``text``."""
     low = F.lit(text.lower())
