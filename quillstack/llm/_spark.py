@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished rounds now; else they stay until the driver's next garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def sized(df: DataFrame, rows: int, per_task: int = 100_000) -> DataFrame:
+    """``df``, fresh from ``cut`` and of ``rows`` rows, in no more partitions than its rows need."""
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstack")

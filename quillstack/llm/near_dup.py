@@ -12,8 +12,11 @@ shingle sets.
 No bucket is expanded into all its pairs.  Inside a bucket every text is first
 compared with one centre, twice with different centres; texts that are then in
 one component need no further comparison.  Only pairs of texts still in
-different components, in their first common bucket, are compared directly, so
-no link between components is lost.  Components come from alternating min-label
+different components are compared directly: in buckets of up to ``DIRECT`` texts
+as pairs, each in its first common bucket, in larger buckets block against
+block inside a task, which gives out only links that join components.  So no
+link between components is lost and no group's pairs are written anywhere; the
+comparisons in a bucket whose texts stay apart still grow with its square.  Components come from alternating min-label
 contraction, each round cut by checkpoint().
 
 Defined cases: a null, empty or blank text is in a class by itself.  A text of
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, table
+from ._spark import cut, release, sized, table
 from ._text import mix, shingles, slices, unique_per_text, word_hashes
 
 SHINGLE = 5
@@ -40,6 +43,9 @@ BANDS = 22
 ROWS = 4
 #: Darts a text throws on average; 7 for each coordinate leave few coordinates empty.
 DARTS = 7 * BANDS * ROWS
+#: Open buckets of at most DIRECT texts are compared pair by pair, larger ones in blocks of about BLOCK.
+DIRECT = 64
+BLOCK = 256
 _LOWEST = -10  # the lowest rank cell is [0, 2**-10)
 _UNIT = float(2**53)
 
@@ -204,26 +210,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): least node of each component of an undirected edge list (a, b).
+    """(node, label) of an undirected edge list (a, b): the least node of the component, for every other node of it.
 
     Alternating large-star and small-star steps; a round's output is cut by
     checkpoint().  Stars are aggregates and joins, so a hub's edges may be split.
     """
+    spark = edges.sparkSession
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = sized(now, sums[0])
         if before == sums or not sums[0]:
             return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
         before = sums
         # large star: a node's larger neighbours go to its least neighbour
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         # small star: a node's smaller neighbours and itself go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         now = cut(small.filter("u <> v").distinct())
+        release(spark)
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -231,28 +240,36 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_links(texts: DataFrame, bands: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Verified pairs (a, b) of ids that connect all near-duplicate texts.
+    """Pairs (a, b) of ids that connect just the texts that chains of verified near-duplicates connect.
 
     ``bands`` has (doc_id, keys) of the ids to compare, ``texts`` their texts
     (an id with several texts counts for each of them).
     """
-    members = bands.select("doc_id", F.explode("keys").alias("key")).distinct()
+    spark = texts.sparkSession
+    members = bands.select("doc_id", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = cut(members.join(shared, "key"))
+    members = cut(members.join(shared, "key").distinct())
+    release(spark)
     sets = cut(_set_rows(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi")))
-    links = None
+    release(spark)
+    links = labels = None
     for salt in (1, 2):
-        if links is None:
-            open_members = members.withColumn("label", F.col("doc_id"))
-        else:
-            open_members = _open(_labelled(members, components(links)))
+        open_members = members.withColumn("label", F.col("doc_id")) if labels is None else cut(_open(_labelled(members, labels)))
         order = F.struct(F.xxhash64(F.lit(salt), "doc_id").alias("h"), "doc_id", "label")
         centres = open_members.groupBy("key").agg(F.min(order).alias("c"))
         pairs = open_members.join(centres, "key").filter("label <> c.label").select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
-        found = _verified(pairs, sets, least)
-        links = cut(found if links is None else links.unionByName(found))
-    left = cut(_open(_labelled(members, components(links))).join(bands, "doc_id"))
-    return links.unionByName(_verified(_cross(left), sets, least))
+        found = cut(_verified(cut(pairs), sets, least))
+        # the stars found so far stand for their links
+        links = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        labels = cut(components(links))
+        release(spark)
+    left = cut(_open(_labelled(members, labels)))
+    sizes = left.groupBy("key").agg(F.count("*").alias("size"))
+    few = left.join(sizes.filter(F.col("size") <= DIRECT).select("key"), "key").join(bands, "doc_id")
+    many = left.join(sizes.filter(F.col("size") > DIRECT), "key")
+    last = cut(_verified(cut(_cross(few)), sets, least).unionByName(_blockwise(many, sets, least)))
+    release(spark)
+    return last.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -269,6 +286,61 @@ def _cross(left: DataFrame) -> DataFrame:
     return x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & first).select("a", "b")
 
 
+def _blockwise(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links between the components of large buckets, compared block against block.
+
+    A bucket's texts are dealt into blocks of about BLOCK; a task holds two
+    blocks and gives out links that tie its components together, never its
+    pairs.  ``rows`` has (key, doc_id, label, size).
+    """
+    n = F.ceil(F.col("size") / BLOCK)
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("doc_id", "key"), n)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    tasks = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "label").join(sets, "doc_id")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, labels = pdf["doc_id"].to_numpy(np.int64), pdf["label"].to_numpy(np.int64)
+        a, b = spanning_links([np.frombuffer(x, np.uint32) for x in pdf["shingles"]], labels, least)
+        return pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
+
+    return tasks.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def spanning_links(sets: list[np.ndarray], labels: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs at least ``least`` similar that tie together all labels that such pairs connect; one less than labels at most."""
+    size = np.array([len(x) for x in sets], np.float64)
+    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size.astype(int))
+    shared = count[column] > 1
+    rank = np.cumsum(count > 1) - 1
+    row, column = row[shared], rank[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    step = 1 << 13
+    for lo in range(0, int((count > 1).sum()), step):
+        at = slice(*np.searchsorted(column, (lo, lo + step)))
+        part = np.zeros((len(sets), step), np.float32)
+        part[row[at], column[at] - lo] = 1
+        common += part @ part.T
+    near = common >= least * (size[:, None] + size[None, :] - common) - 1e-6
+    near &= labels[:, None] != labels[None, :]
+    parent = {x: x for x in labels.tolist()}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(near, 1))):
+        x, y = find(labels[i].item()), find(labels[j].item())
+        if x != y:
+            parent[x] = y
+            out.append((i, j))
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) per distinct id with words: the least id of its near-duplicate class."""
     keyed = cut(signed(docs))
