@@ -99,13 +99,20 @@ def shingles(words: np.ndarray, owner: np.ndarray, size: int, n_texts: int) -> t
 
 
 def unique_per_text(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct (text, value) with how often each occurs."""
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
-    first = np.ones(len(values), bool)
-    first[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    at = np.flatnonzero(first)
-    return values[at], owner[at], np.diff(np.concatenate((at, [len(values)])))
+    """Sorted distinct (text, value) with how often each occurs; of values the upper 48 bits count."""
+    out = []
+    for base in range(0, int(owner.max()) + 1 if len(owner) else 0, 1 << 16):
+        lo, hi = np.searchsorted(owner, (base, base + (1 << 16)))
+        packed = ((owner[lo:hi] - base).astype(np.uint64) << np.uint64(48)) | (values[lo:hi] >> np.uint64(16))
+        packed.sort()
+        first = np.ones(len(packed), bool)
+        first[1:] = packed[1:] != packed[:-1]
+        at = np.flatnonzero(first)
+        kept = packed[at]
+        out.append((kept << np.uint64(16), (kept >> np.uint64(48)).astype(np.int64) + base, np.diff(np.concatenate((at, [len(packed)])))))
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
 def slices(texts: list[str | None], limit: int = CHUNK) -> Iterator[tuple[int, int]]:

@@ -46,7 +46,7 @@ DARTS = 7 * BANDS * ROWS
 #: Open buckets of at most DIRECT texts are compared pair by pair, larger ones in blocks of about BLOCK.
 DIRECT = 64
 BLOCK = 256
-_LOWEST = -10  # the lowest rank cell is [0, 2**-10)
+_LOWEST = -4  # the lowest rank cell is [0, 2**-4)
 _UNIT = float(2**53)
 
 
@@ -54,10 +54,10 @@ def _uniform(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) / _UNIT
 
 
-def _cells(limit: float) -> list[tuple[float, float]]:
-    """Rank cells up to ``limit``, a power of two: dyadic below 1, then of length 1."""
-    edges = [0.0] + [2.0**p for p in range(_LOWEST, 1) if 2.0**p <= limit] + list(np.arange(2.0, limit + 1))
-    return list(zip(edges[:-1], edges[1:]))
+def _spans(limit: float) -> list[tuple[float, float, int]]:
+    """Rank spans up to ``limit``, a power of two, and their number of cells: one below 1, then cells of length 1."""
+    edges = [0.0] + [2.0**p for p in range(_LOWEST, 64) if 2.0**p <= limit]
+    return [(lo, hi, max(1, int(hi - lo))) for lo, hi in zip(edges[:-1], edges[1:])]
 
 
 def _poisson(u: np.ndarray, rate: float) -> np.ndarray:
@@ -73,36 +73,42 @@ def _poisson(u: np.ndarray, rate: float) -> np.ndarray:
     return count
 
 
-def _throw(items: np.ndarray, weights: np.ndarray, lo: float, hi: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Darts of one rank cell: (item index, rank, coordinate, identity) of those under their weight."""
+def _throw(items: np.ndarray, weights: np.ndarray, lo: np.ndarray, width: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Darts in one rank cell per item, from ``lo`` on: (place, rank, coordinate, identity) of those under their weight."""
     found = []
-    level, w_lo = 0, 0.0
-    while True:
-        w_hi = w_lo + 1.0 if level else 1.0
-        live = np.flatnonzero(weights > w_lo)
-        if not len(live):
-            break
-        cell = np.bitwise_xor.reduce(mix(np.array([lo, hi, level + 0.5]).view(np.uint64) + np.arange(3, dtype=np.uint64)))
-        seed = mix(items[live] ^ cell)
-        count = _poisson(_uniform(seed), (hi - lo) * (w_hi - w_lo))
+    level, w_lo, w_hi = 0, 0.0, 1.0
+    live = np.arange(len(items))
+    while len(live):
+        edge = lo[live] + np.float64(level) * 2.0**40  # names the cell; exact, as ranks are short binary fractions
+        seed = mix(items[live] ^ mix(edge.view(np.uint64) + np.uint64(1)))
+        count = _poisson(_uniform(seed), width * (w_hi - w_lo))
         hit = np.flatnonzero(count)
         at = np.repeat(hit, count[hit])
         nth = np.arange(len(at)) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit])
         dart = mix(seed[at] + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-        rank = lo + (hi - lo) * _uniform(mix(dart + np.uint64(1)))
-        under = w_lo + (w_hi - w_lo) * _uniform(mix(dart + np.uint64(2))) < weights[live[at]]
-        found.append((live[at][under], rank[under], (mix(dart + np.uint64(3)) % np.uint64(k)).astype(np.int64)[under], dart[under]))
-        w_lo, level = w_hi, level + 1
+        place = live[at]
+        rank = lo[place] + width * _uniform(mix(dart + np.uint64(1)))
+        under = w_lo + (w_hi - w_lo) * _uniform(mix(dart + np.uint64(2))) < weights[place]
+        found.append((place[under], rank[under], (mix(dart + np.uint64(3)) % np.uint64(k)).astype(np.int64)[under], dart[under]))
+        level, w_lo, w_hi = level + 1, w_hi, w_hi + 1.0
+        live = np.flatnonzero(weights > w_lo)
     return tuple(np.concatenate([f[i] for f in found]) for i in range(4)) if found else tuple(np.zeros(0, t) for t in (np.int64, float, np.int64, np.uint64))
 
 
 def dart_signatures(items: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, k: int = BANDS * ROWS, darts: int = DARTS) -> np.ndarray:
-    """(n, k) earliest darts of weighted sets given as flat (item, weight, owner) rows.
+    """(n, k) earliest darts of weighted sets given as flat (item, weight, owner) rows in owner order.
 
     Two sets agree in a coordinate with the probability of their weighted
     Jaccard similarity.  Sets without items get zeros.
     """
-    sig, best = np.zeros((n, k), np.uint64), np.full((n, k), np.inf)
+    step = 1024  # sets at a time: bounds the rows of short sets, which need many rank cells
+    ends = np.searchsorted(owner, np.arange(0, n + step, step))
+    parts = [_signatures(items[a:b], weights[a:b], owner[a:b] - i * step, min(step, n - i * step), k, darts) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if n > i * step]
+    return np.concatenate(parts) if parts else np.zeros((0, k), np.uint64)
+
+
+def _signatures(items: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, k: int, darts: int) -> np.ndarray:
+    sig, best = np.zeros(n * k, np.uint64), np.full(n * k, np.inf)
     total = np.bincount(owner, weights=weights, minlength=n)
     limit = np.zeros(n)
     full = total > 0
@@ -110,23 +116,28 @@ def dart_signatures(items: np.ndarray, weights: np.ndarray, owner: np.ndarray, n
     done = np.zeros(n)
     todo = full.copy()
     while todo.any():
-        for lo, hi in _cells(limit[todo].max()):
+        for lo, hi, cells in _spans(limit[todo].max()):
             rows = todo & (limit >= hi) & (done < hi)
-            if not rows.any():
-                continue
             at = np.flatnonzero(rows[owner])
-            i, rank, coordinate, dart = _throw(items[at], weights[at], lo, hi, k)
+            if not len(at):
+                continue
+            width = (hi - lo) / cells
+            at = np.repeat(at, cells)
+            start = np.tile(lo + width * np.arange(cells), len(at) // cells)
+            i, rank, coordinate, dart = _throw(items[at], weights[at], start, width, k)
             slot = owner[at[i]] * k + coordinate
             order = np.lexsort((dart, rank, slot))
-            slot, first = np.unique(slot[order], return_index=True)
-            first = order[first]
-            better = rank[first] < best.reshape(-1)[slot]
-            best.reshape(-1)[slot[better]] = rank[first[better]]
-            sig.reshape(-1)[slot[better]] = dart[first[better]]
+            slot = slot[order]
+            first = np.ones(len(slot), bool)
+            first[1:] = slot[1:] != slot[:-1]
+            slot, first = slot[first], order[first]
+            better = rank[first] < best[slot]
+            best[slot[better]] = rank[first[better]]
+            sig[slot[better]] = dart[first[better]]
         done = np.where(todo, limit, done)
-        todo = full & np.isinf(best).any(axis=1)
+        todo = full & np.isinf(best.reshape(n, k)).any(axis=1)
         limit = np.where(todo, limit * 2, limit)
-    return sig
+    return sig.reshape(n, k)
 
 
 def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
