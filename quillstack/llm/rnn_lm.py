@@ -4,8 +4,8 @@ Token counts cover every training document: one aggregation of word hashes,
 summed per task first.  The ``MODEL_WORDS`` most frequent words, the document
 end and one symbol for all rarer words are the model's alphabet; the symbol's
 probability is shared out among the rarer words by count + 1, so the score is a
-probability of the text itself.  Counts of the ``HEAD`` most frequent words
-travel with the model (fixed size); all rarer words are joined exactly.
+probability of the text itself.  Counts of at most ``HEAD``
+most frequent words travel with the model; all rarer words are joined exactly.
 
 The network is one layer of gated recurrent units.  Its softmax is factored:
 first the word's class, then the word in its class.  It starts at the unigram
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,20 +34,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, fold, table
-from ._text import mix, slices, word_hashes
+from ._spark import BLANK, cut, fold, table
+from ._text import slices, word_hashes
 
 MODEL_WORDS = 4094
 CLASS = 64
 HEAD = 1 << 18
 HIDDEN = 32
 STEPS = 32
+#: Characters of a document that a training window is cut from; over STEPS words of usual length.
+WINDOW_CHARS = 400
 LANES = 256
 ROUNDS = 2
-FAN = 16
+FAN = 8
 RATE = 0.05
 CLIP = 1.0
 SEED = 5
+#: Logits are capped here, so that their exponentials stay finite.
+_TOP = np.float32(60)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -87,11 +92,13 @@ class Network:
         rank = self.rank[targets]
         cls, within = rank // CLASS, rank % CLASS
         rows = np.arange(len(h))
-        a = h @ self.p["c"] + self.p["cb"]
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        s = e.sum(1)
-        out = a[rows, cls] - np.log(s)
+        e = h @ self.p["c"]
+        e += self.p["cb"]
+        np.minimum(e, _TOP, out=e)
+        out = e[rows, cls].astype(np.float64)
+        np.exp(e, out=e)
+        s = e @ np.ones(self.classes, np.float32)
+        out -= np.log(s)
         dh = None
         if grad is not None:
             e /= s[:, None]
@@ -101,15 +108,18 @@ class Network:
             dh = e @ self.p["c"].T
         order = np.argsort(cls, kind="stable")
         ends = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in np.unique(cls):
+        ones = np.ones(CLASS, np.float32)
+        for c in np.flatnonzero(np.diff(ends)):
             at = order[ends[c] : ends[c + 1]]
             hc = h[at]
-            a = hc @ self.p["w"][c] + self.p["wb"][c]
-            a -= a.max(1, keepdims=True)
-            e = np.exp(a)
-            s = e.sum(1)
+            e = hc @ self.p["w"][c]
+            e += self.p["wb"][c]
+            np.minimum(e, _TOP, out=e)
             k = np.arange(len(at))
-            out[at] += a[k, within[at]] - np.log(s)
+            mine = e[k, within[at]].astype(np.float64)
+            np.exp(e, out=e)
+            s = e @ ones
+            out[at] += mine - np.log(s)
             if grad is not None:
                 e /= s[:, None]
                 e[k, within[at]] -= 1
@@ -121,7 +131,7 @@ class Network:
     def train(self, windows: np.ndarray, memory: dict) -> None:
         """One Adagrad step on windows (lanes, STEPS + 1), by backpropagation through the window."""
         lanes, length = windows.shape[0], windows.shape[1] - 1
-        grad = {k: np.zeros_like(v) for k, v in self.p.items()}
+        grad = {k: np.zeros_like(v) for k, v in self.p.items() if k != "x"}
         h = np.zeros((lanes, HIDDEN), np.float32)
         states, kept = [], []
         for t in range(length):
@@ -147,14 +157,18 @@ class Network:
             gates[t] = np.concatenate((dz, dr, dn), 1)
             grad["u"] += before.T @ dg
             after = d * z + dg @ self.p["u"].T
-        inputs = windows[:, :-1].T.reshape(-1)
-        np.add.at(grad["x"], inputs[inputs >= 0], gates.reshape(-1, 3 * HIDDEN)[inputs >= 0])
-        count = max(1, int(real.sum()))
+        count = max(1, int(real.sum())) / 64
         for k, g in grad.items():
-            g /= count / 64
-            np.clip(g, -CLIP, CLIP, out=g)
-            memory[k] += g * g
-            self.p[k] -= RATE * g / np.sqrt(memory[k] + 1e-6)
+            self._descend(k, slice(None), g / count, memory)
+        inputs = windows[:, :-1].T.reshape(-1)
+        order = np.argsort(inputs, kind="stable")[int((inputs < 0).sum()) :]
+        rows, first = np.unique(inputs[order], return_index=True)
+        self._descend("x", rows, np.add.reduceat(gates.reshape(-1, 3 * HIDDEN)[order], first, axis=0) / count, memory)
+
+    def _descend(self, name: str, rows, g: np.ndarray, memory: dict) -> None:
+        np.clip(g, -CLIP, CLIP, out=g)
+        memory[name][rows] += g * g
+        self.p[name][rows] -= RATE * g / np.sqrt(memory[name][rows] + 1e-6)
 
     def likelihood(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each symbol sequence, state carried to its end."""
@@ -274,6 +288,20 @@ def _by_task():
     return Window.orderBy("task")  # at most FAN rows
 
 
+def _window(text: str, salt: int) -> tuple[str, bool, bool]:
+    """A seeded stretch of WINDOW_CHARS characters from a blank on, and whether it opens and closes the text."""
+    at = zlib.crc32(f"{salt} {len(text)} {text[:64]}".encode("utf-8", "replace")) % max(1, len(text) - WINDOW_CHARS // 2)
+    if at < WINDOW_CHARS // 4:
+        at = 0
+    piece = text[at : at + WINDOW_CHARS]
+    closes = at + WINDOW_CHARS >= len(text)
+    if at:
+        piece = piece[next((i for i, c in enumerate(piece) if c in BLANK), len(piece)) :]
+    if not closes:  # the last word may be cut
+        piece = piece[: next((i for i in range(len(piece), 0, -1) if piece[i - 1] in BLANK), 0)]
+    return piece, at == 0, closes
+
+
 def _train_round(training: DataFrame, model: Model, salt: int) -> DataFrame:
     held = training.sparkSession.sparkContext.broadcast(model)
 
@@ -292,23 +320,16 @@ def _train_round(training: DataFrame, model: Model, salt: int) -> DataFrame:
             m.network.train(windows, memory)
 
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for lo, hi in slices(texts, 1 << 22):
-                words, owner = word_hashes(texts[lo:hi])
-                counts = np.bincount(owner, minlength=hi - lo)
-                stop = np.cumsum(counts)
-                # a seeded place per document: from its words, whatever its row
-                picks = []
-                for i in range(hi - lo):
-                    w = words[stop[i] - counts[i] : stop[i]]
-                    place = int(mix(np.array([w[0] if len(w) else 0], np.uint64) + np.uint64(len(w) * 7919 + salt))[0] % np.uint64(max(1, len(w) - STEPS + 2)))
-                    picks.append((w[max(0, place - 1) : place + STEPS], place == 0, place + STEPS > len(w)))
-                flat = m.symbols(m.lookup(np.concatenate([p[0] for p in picks]))) if picks else []
-                at = 0
-                for w, opens, closes in picks:
-                    x = flat[at : at + len(w)]
-                    at += len(w)
+            found = [_window(t.as_py() or "", salt) for t in b.column(0)]
+            for lo, hi in slices([w for w, _, _ in found], 1 << 22):
+                words, owner = word_hashes([w for w, _, _ in found[lo:hi]])
+                symbols = m.symbols(m.lookup(words))
+                stop = np.searchsorted(owner, np.arange(hi - lo + 1))
+                for i, (_, opens, closes) in enumerate(found[lo:hi]):
+                    x = symbols[stop[i] : stop[i + 1]]
                     x = np.concatenate(([end] if opens else [], x, [end] if closes else []))[: STEPS + 1]
+                    if len(x) < 2:
+                        continue
                     pending.append(x)
                     tokens += len(x) - 1
                     if len(pending) == 64:
@@ -326,7 +347,17 @@ def fit(training: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
     """Model from the rows of ``training`` and their ``counts``."""
     n_docs = training.count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(HEAD).toPandas()  # HEAD rows of 16 bytes
+    # words by size of count, in eighths of octaves: the head is every size that fits
+    size = F.floor(F.log2(F.col("c").cast("double")) * 8)
+    sizes = sorted((tuple(r) for r in counts.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect()), reverse=True)  # 512 rows at most
+    least, held = None, 0
+    for at, n in sizes:
+        held += n
+        if held > HEAD:
+            break
+        least = at
+    top = counts.filter(size >= least).toPandas() if least is not None else counts.limit(0).toPandas()  # HEAD rows of 16 bytes
+    top = top.sort_values(["c", "h"], ascending=[False, True])
     words = top["h"].to_numpy(np.int64).view(np.uint64)
     count = top["c"].to_numpy(np.int64)
     order = np.argsort(words)
