@@ -76,8 +76,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     small = targets.count() <= SMALL
     held = targets.withColumnRenamed("source", "__source")
     placed = sized.join(F.broadcast(held) if small else held, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    order = F.xxhash64(F.lit(seed), "doc_id", "size")
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), F.col("n_shards"))).withColumn("order", order)
+    seeded = lambda n: F.md5(F.concat_ws(":", F.lit(str(n)), F.col("doc_id").cast("string"), F.col("size").cast("string")).cast("binary"))
+    shard = F.conv(F.substring(seeded(seed + 1), 1, 8), 16, 10).cast("long") % F.col("n_shards")
+    placed = placed.withColumn("shard", shard).withColumn("order", seeded(seed))
     shards = placed.groupBy("source", "shard").agg(F.sum("size").cast("double").alias("shard_size"), F.first("blocks").alias("blocks"))
     quotas = apportion(shards, ["source"], [F.col("shard")], "shard_size", "blocks", "quota")
     quotas = quotas.select(F.col("source").alias("__source"), F.col("shard").alias("__shard"), "shard_size", F.least(F.col("quota") * block, F.col("shard_size").cast("long") * epochs).alias("words"))
@@ -92,3 +93,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken, source of every document."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+SQL = f"""
+WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
+sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM sized GROUP BY source),
+weighed AS (SELECT *, {list(map(float, WEIGHTS))}[(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS weight FROM sums),
+levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(source_size * {EPOCHS}) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM weighed WINDOW before AS (ORDER BY source_size * {EPOCHS} / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (SELECT source, source_size, CAST(ceil(n_docs / {SHARD}) AS BIGINT) AS n_shards, least(source_size * {EPOCHS}.0::DOUBLE, weight * max(level) OVER ()) AS target FROM levels),
+seats AS (SELECT source, row_number() OVER (ORDER BY target / (k - 0.5::DOUBLE) DESC, encode(source) NULLS LAST, k) AS place
+  FROM (SELECT source, target, unnest(range(1, CAST(target // {BLOCK} AS BIGINT) + 3)) AS k FROM targets WHERE target > 0)),
+blocks AS (SELECT source, count(*) AS blocks FROM seats WHERE place <= (SELECT CAST(round(sum(target) / {BLOCK}) AS BIGINT) FROM targets) GROUP BY source),
+placed AS (SELECT s.*, t.source_size, t.target, coalesce(b.blocks, 0) AS blocks, md5(concat_ws(':', '{SEED}', doc_id, size)) AS key,
+    CAST('0x' || substr(md5(concat_ws(':', '{SEED + 1}', doc_id, size)), 1, 8) AS BIGINT) % t.n_shards AS shard
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN blocks b ON s.source IS NOT DISTINCT FROM b.source),
+shards AS (SELECT source, shard, sum(size) AS shard_size, any_value(blocks) AS blocks, sum(sum(size)) OVER (PARTITION BY source) AS total FROM placed GROUP BY source, shard),
+offers AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY shard_size / (k - 0.5::DOUBLE) DESC, shard, k) AS place
+  FROM (SELECT *, unnest(range(1, CAST(blocks * shard_size / total AS BIGINT) + 3)) AS k FROM shards WHERE shard_size > 0)),
+quotas AS (SELECT source, shard, any_value(shard_size) AS shard_size, least(count(*) FILTER (WHERE place <= blocks) * {BLOCK}, any_value(shard_size) * {EPOCHS}) AS words FROM offers GROUP BY source, shard)
+SELECT doc_id, size, source_size, target, source, CAST(coalesce(words // shard_size * size
+  + least(size, greatest(0, words - words // shard_size * shard_size - coalesce(sum(size) OVER before, 0))), 0) AS BIGINT) AS taken
+FROM (SELECT p.*, q.words, q.shard_size FROM placed p LEFT JOIN quotas q ON p.source IS NOT DISTINCT FROM q.source AND p.shard = q.shard)
+WINDOW before AS (PARTITION BY source, shard ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+"""

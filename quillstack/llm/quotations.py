@@ -120,3 +120,31 @@ def op6_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, turn, role, reply_to, thread, n_quotes, n_linked, body_sha256 of every message."""
     out = link(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     return out.select("conv_id", "turn", "role", "reply_to", "thread", "n_quotes", "n_linked", F.sha2("body", 256).alias("body_sha256"))
+
+
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NORMAL = "trim(regexp_replace(" + _LOW + r", '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+_BARE = "list_filter(ls, lambda x, i: v[i] = 0 AND NOT (regexp_matches(x, 'wrote:[ \\t]*$') AND coalesce(v[i + 1] > 0, false)))"
+SQL = rf"""
+WITH RECURSIVE m AS (
+  SELECT *, string_split(t, chr(10)) AS ls, list_transform(string_split(t, chr(10)), lambda x: length(regexp_replace(regexp_extract(x, '^[ \t]*(>[> \t]*)', 1), '[^>]', '', 'g'))) AS v
+  FROM (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations)),
+b AS (SELECT *, CASE WHEN list_max(v) > 0 THEN trim(array_to_string({_BARE}, chr(10)), chr(10)) ELSE t END AS body FROM m),
+known AS (SELECT * FROM b WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+own AS (SELECT DISTINCT conv_id, turn AS origin, {_NORMAL.format("u")} AS unit FROM (
+  SELECT conv_id, turn, unnest(list_concat(list_concat([body], regexp_split_to_array(body, '\n[ \t]*\n')), string_split(body, chr(10)))) AS u FROM known)),
+l AS (SELECT DISTINCT conv_id, turn, t, pos, v[pos] AS level, regexp_replace(ls[pos], '^[ \t]*(>[> \t]*)', '') AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS pos FROM known WHERE list_max(v) > 0)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn, t ORDER BY pos) AS run FROM (
+  SELECT *, CASE WHEN level <> lag(level, 1, -1) OVER (PARTITION BY conv_id, turn, t ORDER BY pos) THEN 1 ELSE 0 END AS new FROM l)),
+units AS (SELECT conv_id, turn, t, run, level, whole, {_NORMAL.format("line")} AS unit FROM (
+  SELECT conv_id, turn, t, run, level, true AS whole, string_agg(line, ' ' ORDER BY pos) AS line FROM r WHERE level > 0 GROUP BY conv_id, turn, t, run, level
+  UNION ALL SELECT conv_id, turn, t, run, level, false, line FROM r WHERE level > 0)),
+best AS (SELECT conv_id, turn, t, run, level, max(whole) AS whole, max(origin) FILTER (WHERE whole) AS o1, max(origin) AS o2 FROM units JOIN own USING (conv_id, unit) WHERE unit <> '' AND origin < turn GROUP BY conv_id, turn, t, run, level),
+linked AS (SELECT conv_id, turn, arg_min(coalesce(o1, o2), (level, NOT whole, -coalesce(o1, o2))) AS reply_to, count(*) AS n_linked FROM best GROUP BY conv_id, turn),
+quotes AS (SELECT conv_id, turn, count(*) AS n_quotes FROM units WHERE whole AND unit <> '' GROUP BY conv_id, turn),
+up AS (SELECT conv_id, turn, reply_to AS thread FROM linked UNION ALL SELECT up.conv_id, up.turn, linked.reply_to FROM up JOIN linked ON linked.conv_id = up.conv_id AND linked.turn = up.thread),
+threads AS (SELECT conv_id, turn, min(thread) AS thread FROM up GROUP BY conv_id, turn)
+SELECT b.conv_id, b.turn, role, reply_to, coalesce(thread, b.turn) AS thread, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, sha256(body) AS body_sha256
+FROM b LEFT JOIN linked ON b.conv_id = linked.conv_id AND b.turn = linked.turn LEFT JOIN quotes ON b.conv_id = quotes.conv_id AND b.turn = quotes.turn
+LEFT JOIN threads ON b.conv_id = threads.conv_id AND b.turn = threads.turn
+"""

@@ -11,4 +11,4 @@ QUERIES = {
         quotations.op6_quotations, quality.op7_quality, line_dedup.op8_line_dedup, toxicity.op9_toxicity, url_filter.op10_url_filter,
     )
 }
-SQL = {"op8_line_dedup": line_dedup.SQL}
+SQL = {"op2_mixing": mixing.SQL, "op6_quotations": quotations.SQL, "op8_line_dedup": line_dedup.SQL}

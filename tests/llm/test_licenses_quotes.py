@@ -84,6 +84,17 @@ def test_links(spark):
     assert got == sorted(map(str, want))
 
 
+def test_sql_on_the_same_rows(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    frame = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
+    frame.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = quotations.op6_quotations(spark, str(tmp_path))
+    columns = sorted(got.columns)
+    assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, con.sql(quotations.SQL).project(", ".join(columns)).fetchall()))
+
+
 def test_long_chain_and_empty(spark):
     rows = [(1, 0, "u", "line number 0")] + [(1, i, "u", f"> line number {i - 1}\nline number {i}") for i in range(1, 40)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

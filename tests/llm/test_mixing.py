@@ -74,3 +74,9 @@ def test_whole_query(spark, data):
     assert all(r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", texts[r["doc_id"]] or "")) for r in rows)
     _, taken, want = check(rows)
     assert all(abs(taken[s] - want[s]) <= m.BLOCK for s in want)
+
+
+def test_sql_agrees(spark, data, duck):
+    got = m.op2_mixing(spark, data)
+    columns = sorted(got.columns)
+    assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, duck.sql(m.SQL).project(", ".join(columns)).fetchall()))
