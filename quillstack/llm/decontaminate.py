@@ -36,8 +36,8 @@ from ._spark import table
 from ._text import mix, slices
 
 Q = 10
-WINDOW = 96
-EDITS = 0.08
+WINDOW = 64
+EDITS = 0.07
 MIN_CHARS = 24
 BLOCK_CHARS = 4_000_000
 _TABLE_BITS = 22
