@@ -47,7 +47,7 @@ VIEWS = {
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)""",
     "v_analysis": f"""
   SELECT document_id, version_id, analysis_type, CASE WHEN k <= 2 THEN 'complete' WHEN k <= 4 THEN 'failed' ELSE 'pending' END AS status,
-    {ANCHOR} - {bucket("document_id || analysis_type", "h", 16)} * 2 * 3600 AS created
+    CAST({ANCHOR} - {bucket("document_id || analysis_type", "h", 16)} * 2 * 3600 AS BIGINT) AS created
   FROM (SELECT *, {bucket("document_id || analysis_type", "a", 8)} AS k
     FROM (SELECT document_id, max(id) AS version_id, unnest(['ocr', 'ner']) AS analysis_type FROM v_versions GROUP BY document_id)) WHERE k < 6""",
     "v_crawl": f"""

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import dates, entities as ner, mime, names, terms, urls
-from .operators import browse, crawl, export, geo, stats, versions, work
+from . import backends
+from .functions import dates, discovery, entities as ner, mime, names, terms, urls
+from .operators import browse, crawl, export, geo, ranked, state, stats, versions, work
 from .plans import views
 from .plans.oracle import category, sql
 from .plans.views import ANCHOR
 from .session import read
+from .sources import loadfiles, web
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -592,3 +594,223 @@ def unique_403_window(spark, d):
     from .streaming import rate_limit
 
     return rate_limit.blocked_windows(views.requests(spark, d), 1)
+
+
+# Lookups
+
+
+@query("SELECT id, title, status FROM v_documents WHERE id IN ('3', '17', '29', 'none')")
+def documents_batch(spark, d):
+    return views.documents(spark, d).filter(F.col("id").isin("3", "17", "29", "none")).select("id", "title", "status")
+
+
+@query("SELECT id, source_url FROM v_documents WHERE source_id = 'src3'")
+def source_urls(spark, d):
+    return views.documents(spark, d).filter("source_id = 'src3'").select("id", "source_url")
+
+
+@query("SELECT d.id, max(v.id) AS version_id, count(*) AS n FROM v_documents d JOIN v_versions v ON v.document_id = d.id GROUP BY d.id")
+def documents_with_versions(spark, d):
+    held = views.versions(spark, d).groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id", "content_hash", "file_size"))).alias("versions"))
+    return views.documents(spark, d).select("id").join(held, "id").select("id", F.array_max(F.transform("versions", lambda v: v["id"])).alias("version_id"), F.size("versions").cast("long").alias("n"))
+
+
+@query("SELECT a.content_hash, a.document_id FROM v_versions a WHERE a.content_hash IN (SELECT content_hash FROM v_versions JOIN v_documents d ON d.id = document_id WHERE d.source_id = 'src3') AND a.document_id NOT IN (SELECT id FROM v_documents WHERE source_id = 'src3')")
+def sources_by_hash(spark, d):
+    """Documents of other sources that hold a hash of one source."""
+    docs = views.documents(spark, d).select(F.col("id").alias("document_id"), "source_id")
+    held = views.versions(spark, d).join(docs, "document_id")
+    own = held.filter("source_id = 'src3'").select("content_hash").distinct()
+    return held.filter("source_id <> 'src3'").join(own, "content_hash", "left_semi").select("content_hash", "document_id")
+
+
+@query("SELECT id, url, status FROM v_crawl WHERE status IN ('failed', 'exhausted') ORDER BY id LIMIT 20")
+def failed_urls(spark, d):
+    return views.crawl_urls(spark, d).filter(F.col("status").isin("failed", "exhausted")).orderBy("id").limit(20).select("id", "url", "status")
+
+
+@query("SELECT id, depth FROM v_crawl WHERE source_id = (SELECT min(source_id) FROM v_crawl) AND status IN ('discovered', 'fetching') ORDER BY depth, discovered, id LIMIT 20")
+def pending_urls(spark, d):
+    urls_ = views.crawl_urls(spark, d)
+    first = urls_.agg(F.min("source_id")).first()[0]
+    return crawl.claim_order(urls_, first, 20).select("id", "depth")
+
+
+@query("SELECT document_id, version_id, analysis_type, created FROM v_analysis WHERE analysis_type = 'ner' AND status = 'complete' ORDER BY created DESC, document_id LIMIT 25")
+def analysis_results(spark, d):
+    found = views.analysis(spark, d).filter((F.col("analysis_type") == "ner") & (F.col("status") == "complete"))
+    return found.orderBy(F.desc("created"), "document_id").limit(25).select("document_id", "version_id", "analysis_type", "created")
+
+
+@query("SELECT analysis_type, status, count(*) AS n FROM v_analysis GROUP BY 1, 2")
+def analysis_counts(spark, d):
+    return stats.by(views.analysis(spark, d), "analysis_type", "status")
+
+
+@query("SELECT id FROM v_documents WHERE manual_date IS NULL AND estimated_date IS NULL")
+def needing_date_estimation(spark, d):
+    return views.documents(spark, d).filter("manual_date IS NULL AND estimated_date IS NULL").select("id")
+
+
+@query("SELECT page_id, url FROM (SELECT page_id, url, row_number() OVER (ORDER BY url, page_id) AS r, count(*) OVER () AS n FROM pages) WHERE (r - 1) % CAST(ceil(n / 20) AS BIGINT) = 0")
+def url_sample(spark, d):
+    frame = read(spark, d, "pages").select(F.concat("url", F.lit(" "), F.lpad(F.col("page_id").cast("string"), 12, "0")).alias("key"), "page_id", "url")
+    return browse.sample(frame, "key", 20).select("page_id", "url")
+
+
+@query("SELECT document_id, entity_type, normalized_text FROM v_entities WHERE document_id = '5'")
+def document_entities(spark, d):
+    return views.entities(spark, d).filter("document_id = '5'").select("document_id", "entity_type", "normalized_text")
+
+
+@query("SELECT document_id, string_agg(normalized_text, '|' ORDER BY entity_type, normalized_text) AS found FROM v_entities GROUP BY 1")
+def entities_batch(spark, d):
+    held = views.entities(spark, d).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("entity_type", "normalized_text"))).alias("e"))
+    return held.select("document_id", F.array_join(F.transform("e", lambda x: x["normalized_text"]), "|").alias("found"))
+
+
+@query("SELECT DISTINCT document_id FROM v_entities WHERE latitude BETWEEN -22 AND 33 AND longitude BETWEEN -101 AND 61")
+def near_region(spark, d):
+    """Inside the region: no entity lies within a kilometre outside of its border."""
+    ring = [[-101.0, -22.0], [61.0, -22.0], [61.0, 33.0], [-101.0, 33.0], [-101.0, -22.0]]
+    region = spark.createDataFrame([("Middle", [ring])], "name string, rings array<array<array<double>>>")
+    return geo.near_region(views.entities(spark, d), region, "middle", 1.0)
+
+
+# Functions on driver tables
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+def json_paths(spark, d):
+    return read(spark, d, "events").select("event_id", web.json_value(F.col("props"), "k").cast("int").alias("k"))
+
+
+@query("SELECT event_id, CASE WHEN json_extract(props, '$.z') IS NULL THEN 'https://api.example.org/' || CAST(json_extract(props, '$.k') AS VARCHAR) END AS url FROM events")
+def api_item_urls(spark, d):
+    return read(spark, d, "events").select("event_id", web.item_url(F.col("props"), "z", "https://api.example.org/{k}").alias("url"))
+
+
+@query("SELECT id, CASE mime_type WHEN 'application/pdf' THEN '[pdf]' WHEN 'text/html' THEN '[htm]' WHEN 'text/plain' THEN '[txt]' WHEN 'message/rfc822' THEN '[eml]' WHEN 'application/zip' THEN '[zip]' WHEN 'application/vnd.ms-excel' THEN '[xls]' ELSE '[---]' END AS icon FROM v_documents")
+def mime_icons(spark, d):
+    return views.documents(spark, d).select("id", mime.icon(F.col("mime_type")).alias("icon"))
+
+
+@query("SELECT id, mime_type AS guessed FROM v_documents")
+def mime_from_url(spark, d):
+    """The guess from the URL is the type that the URL was made from."""
+    return views.documents(spark, d).select("id", mime.from_url(F.col("source_url")).alias("guessed"))
+
+
+@query(r"""SELECT id, CASE WHEN n = '' THEN 'document' ELSE n END AS name FROM (SELECT id, substr(trim(trim(regexp_replace(title, '[/\\:*?"<>|\x00-\x1f\x7f]', '_', 'g')), '_'), 1, 100) AS n FROM v_documents)""")
+def sanitized_names(spark, d):
+    return views.documents(spark, d).select("id", names.sanitize(F.col("title")).alias("name"))
+
+
+@query("SELECT page_id, translate(regexp_replace(string_split(url, '/')[-1], '[.]html$', ''), '_-', '  ') AS title FROM pages WHERE regexp_matches(url, '/[0-9]+([.]html)?$')")
+def url_titles(spark, d):
+    return read(spark, d, "pages").filter(F.col("url").rlike(r"/[0-9]+(\.html)?$")).select("page_id", urls.title(F.col("url")).alias("title"))
+
+
+@query("SELECT page_id, link, CASE WHEN starts_with(link, '/') THEN regexp_extract(url, '^[a-z]+://[^/]+') || link ELSE link END AS target FROM v_links WHERE starts_with(link, '/') OR starts_with(link, 'http')")
+def resolved_links(spark, d):
+    table = views.links(spark, d).filter("link LIKE '/%' OR link LIKE 'http%'").filter("link NOT LIKE '//%'")
+    return table.select("page_id", "link", urls.resolve(F.col("url"), F.col("link")).alias("target"))
+
+
+@query("SELECT doc_id, strlen(cut) AS bytes, length(cut) AS chars FROM (SELECT doc_id, list_aggregate(list_filter(list_transform(range(1, 41), lambda n: substr(text, 1, n)), lambda t: strlen(t) <= 40), 'last') AS cut FROM documents WHERE strlen(text) > 40)")
+def truncated_texts(spark, d):
+    cut = read(spark, d, "documents").filter(F.octet_length("text") > 40).select("doc_id", discovery.truncate(F.col("text"), 40).alias("cut"))
+    return cut.select("doc_id", F.octet_length("cut").cast("long").alias("bytes"), F.length("cut").cast("long").alias("chars"))
+
+
+@query("SELECT doc_id, 'CIA|FBI' AS organizations, 'TOP SECRET//SCI' AS marks, 'Berlin|Ohio' AS places FROM documents")
+def entity_extraction(spark, d):
+    """Entities planted in front of every text, as one sentence each."""
+    text = F.concat(F.lit("The FBI and the CIA. Marked TOP SECRET//SCI. From Ohio to Berlin. "), F.lower("text"))
+    found = read(spark, d, "documents").select("doc_id", ner.entities(text).alias("e"))
+    of = lambda kind: F.array_join(F.transform(F.filter("e", lambda x: x["type"] == kind), lambda x: x["text"]), "|")
+    return found.select("doc_id", of("organization").alias("organizations"), of("file_number").alias("marks"), of("location").alias("places"))
+
+
+@query("SELECT doc_id, 2 AS n FROM documents")
+def url_finder(spark, d):
+    """URLs planted around every text; an excluded domain and a repeated one do not count."""
+    text = F.concat(F.lit("(https://a.example.org/x_(1)). https://b.example.org/r.pdf, "), F.lower("text"), F.lit(" https://www.google.com/q https://b.example.org/r.pdf"))
+    return read(spark, d, "documents").select("doc_id", F.size(urls.found(text)).alias("n"))
+
+
+# Sources, from lines made of driver tables
+
+
+@query("SELECT page_id, url FROM pages")
+def cdx_rows(spark, d):
+    """CDX answers of ten rows each, read back."""
+    row = F.to_json(F.array(F.col("page_id").cast("string"), F.col("url"), F.lit("-")))
+    answers = read(spark, d, "pages").groupBy(F.floor(F.col("page_id") / 10)).agg(F.concat(F.lit('[["id","original","digest"],'), F.array_join(F.collect_list(row), ","), F.lit("]")).alias("value"))
+    fields = web.read_cdx(answers).select("fields").filter(F.element_at("fields", "digest").isNull())
+    return fields.select(F.element_at("fields", "id").cast("long").alias("page_id"), F.element_at("fields", "original").alias("url"))
+
+
+@query("SELECT DISTINCT url FROM pages")
+def sitemap_rows(spark, d):
+    line = F.concat(F.lit("<url><loc>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    maps = read(spark, d, "pages").groupBy(F.floor(F.col("page_id") / 25)).agg(F.array_join(F.collect_list(line), "\n").alias("xml"))
+    return maps.select(F.explode(web.sitemap_urls(F.col("xml"))).alias("url")).distinct()
+
+
+@query("SELECT DISTINCT url FROM pages WHERE page_id % 3 <> 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+def url_list_import(spark, d):
+    pages = read(spark, d, "pages")
+    lines = pages.filter("page_id % 3 <> 0").select(F.concat(F.lit("  "), "url").alias("value")).unionByName(spark.createDataFrame([("# list",), ("",), ("not a url",)], "value string"))
+    return web.url_list(lines, pages.filter("page_id % 3 = 0").select("url"))[0]
+
+
+@query(r"SELECT 'P' || c_custkey AS bates, 'V' || (c_nationkey % 3) AS volume, '\IMG\' || c_custkey || '.tif' AS file, c_custkey % 4 = 0 AS first_page FROM customer")
+def opt_rows(spark, d):
+    """OPT lines with a stale duplicate of every line in front."""
+    key = F.col("c_custkey").cast("string")
+    line = F.concat(F.lit("P"), key, F.lit(",V"), (F.col("c_nationkey") % 3).cast("string"), F.lit(",\\IMG\\"), key, F.lit(".tif,"), F.when(F.col("c_custkey") % 4 == 0, "Y").otherwise(""), F.lit(",,,1"))
+    base = read(spark, d, "customer").select((F.col("c_custkey") + 10**6).alias("line"), line.alias("value"), F.concat(F.lit("P"), key, F.lit(",old,x,,,,")).alias("stale"))
+    return loadfiles.read_opt(base.select("line", "value").unionByName(base.select((F.col("line") - 10**6).alias("line"), F.col("stale").alias("value"))))
+
+
+@query("SELECT 'https://h.example.org/' || c_custkey || '.tif' AS url, 'B' || c_custkey AS begin_bates FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 2 = 0 UNION ALL SELECT 'concordance://B' || c_custkey || '..E' || c_custkey, 'B' || c_custkey FROM customer WHERE c_custkey % 5 = 0")
+def load_file_import(spark, d):
+    """Records with and without a page file; known URLs are left out."""
+    key = F.col("c_custkey").cast("string")
+    dat = read(spark, d, "customer").select(F.concat(F.lit("B"), key).alias("begin_bates"), F.concat(F.lit("E"), key).alias("end_bates"), F.create_map(F.lit("name"), F.col("c_name")).alias("values"))
+    opt = read(spark, d, "customer").filter("c_custkey % 5 <> 0").select(F.concat(F.lit("B"), key).alias("bates"), F.concat(F.lit("\\IMG\\"), key, F.lit(".tif")).alias("file"))
+    known = read(spark, d, "customer").filter("c_custkey % 2 = 1").select(F.concat(F.lit("https://h.example.org/"), key, F.lit(".tif")).alias("url"))
+    return loadfiles.load(dat, opt, known, "https://h.example.org").select("url", "begin_bates")
+
+
+# State
+
+
+@query("SELECT user_id AS id, arg_max(event_type, event_id) AS status, max(event_id) AS last_heartbeat FROM events GROUP BY 1")
+def service_heartbeats(spark, d):
+    beats = read(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("status"), F.col("event_id").alias("last_heartbeat"))
+    return work.heartbeat(beats.filter("last_heartbeat % 2 = 0"), beats.filter("last_heartbeat % 2 = 1"))
+
+
+@query("SELECT id, source_url FROM v_documents WHERE status = 'indexed'")
+def save_new_by_url(spark, d):
+    """Found pages of unknown URLs become documents."""
+    docs = views.documents(spark, d)
+    found = docs.select("id", "source_url", F.lit("x").alias("content_hash"))
+    new, _ = state.save_by_url(docs.filter("status <> 'indexed'"), views.versions(spark, d), found.withColumnRenamed("id", "found_id"))
+    return new.select(F.col("found_id").alias("id"), "source_url")
+
+
+@query("SELECT document_id, page_number, CASE WHEN ocr_text IS NOT NULL AND page_number % 2 = 0 THEN 'ocr' ELSE 'pdf' END AS best FROM v_pages WHERE length(regexp_replace(pdf_text, '\\s', '', 'g')) BETWEEN 5 AND 400")
+def page_merge(spark, d):
+    """Every second page's OCR text doubles the PDF's: only those win by over a fifth."""
+    pages = views.pages(spark, d).withColumn("ocr", F.when(F.col("page_number") % 2 == 0, F.concat("ocr_text", "ocr_text")).otherwise(F.col("ocr_text")))
+    solid = F.length(F.regexp_replace("pdf_text", r"\s", "")).between(5, 400)
+    return pages.filter(solid).select("document_id", "page_number", F.when(backends.best_page(F.col("pdf_text"), F.col("ocr")) == F.col("ocr"), F.when(F.col("ocr") == F.col("pdf_text"), "pdf").otherwise("ocr")).otherwise("pdf").alias("best"))
+
+
+@query()
+def ranked_search(spark, d):
+    """Pages with forms of one word, counted per document; a stemmer is beyond SQL."""
+    return ranked.search(views.pages(spark, d), "lyed", 1_000_000).groupBy("document_id").agg(F.count("*").alias("n"))
