@@ -5,7 +5,8 @@ partition by hash, document and position (Catalyst may serve that order by
 hash aggregation), so a hot line spreads over as many
 partitions as its documents fill.  Streaming over a partition leaves one
 partial row per hash (documents seen, last document); a second, small
-aggregation joins the parts.  What leaves the operator is a compressed bitmap
+aggregation joins the parts.  The lines of frequent keys meet their keeper in a
+broadcast join of checked size, or a salted one beyond it.  What leaves the operator is a compressed bitmap
 per document: 64-line words with at least one dropped line, no text.
 
 Defined cases: a null or empty text is one empty line.  Repeated rows of one
@@ -19,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import BLANK, lower_az, table
+from ._spark import BLANK, cut, lower_az, table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
+SMALL = 500_000
+SALT = 16
 
 
 def _lines(text: Column) -> Column:
@@ -41,11 +44,19 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
         .groupBy("h1", "h2").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
         .filter(F.col("n_docs") >= min_docs)
     )
-    drops = hashed.join(keepers, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    drops = _join(hashed, cut(keepers.select("h1", "h2", "keeper"))).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     bits = drops.groupBy("doc_id", "text_hash", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits"))
     return bits.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("drops"))
 
 
+def _join(lines: DataFrame, keepers: DataFrame) -> DataFrame:
+    """``lines`` with their keeper.  Up to SMALL keepers (24 bytes each) are broadcast; more are joined, a line's rows dealt over SALT keys."""
+    if keepers.count() <= SMALL:
+        return lines.join(F.broadcast(keepers), ["h1", "h2"])
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)))
+    return salted.join(keepers.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1)))), ["h1", "h2", "salt"]).drop("salt")
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with text replaced by its kept lines, plus n_lines and n_dropped."""
     maps = drop_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("drops").alias("__drops"))
