@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text handled by one numpy pass; bounds memory, not the text.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SEP = np.ones(256, bool)

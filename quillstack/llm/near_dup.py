@@ -101,7 +101,7 @@ def dart_signatures(items: np.ndarray, weights: np.ndarray, owner: np.ndarray, n
     Two sets agree in a coordinate with the probability of their weighted
     Jaccard similarity.  Sets without items get zeros.
     """
-    step = 1024  # sets at a time: bounds the rows of short sets, which need many rank cells
+    step = 256  # sets at a time: bounds the rows of short sets, which need many rank cells
     ends = np.searchsorted(owner, np.arange(0, n + step, step))
     parts = [_signatures(items[a:b], weights[a:b], owner[a:b] - i * step, min(step, n - i * step), k, darts) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if n > i * step]
     return np.concatenate(parts) if parts else np.zeros((0, k), np.uint64)
