@@ -363,7 +363,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     same = once.unionByName(many)
     # an id with several texts ties their groups together
     ties = same.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
-    labels = components(links.unionByName(ties)).select(F.col("node").alias("rep"), F.col("label").alias("class_id"))
+    labels = cut(components(links.unionByName(ties))).select(F.col("node").alias("rep"), F.col("label").alias("class_id"))
     return same.join(labels, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("class_id", "rep")).alias("class_id"))
 
 
@@ -371,8 +371,9 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id (least id of the class), class_size of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = cut(docs.select("doc_id").join(classes(docs), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id")))
-    sizes = found.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    many = found.join(sizes.filter("class_size > 1"), "class_id", "left")
+    # cut, so that both sides of the join are exchanged and a large class can be split
+    sizes = cut(found.groupBy("class_id").agg(F.count("*").alias("class_size")).filter("class_size > 1"))
+    many = found.join(sizes, "class_id", "left")
     return many.select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
