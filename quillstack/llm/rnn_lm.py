@@ -10,10 +10,11 @@ most frequent words travel with the model; all rarer words are joined exactly.
 The network is one layer of gated recurrent units.  Its softmax is factored:
 first the word's class, then the word in its class.  It starts at the unigram
 distribution and is trained by truncated backpropagation over windows of
-``STEPS`` tokens: every task trains on one seeded window of each of its training
-documents, and parameters are averaged by tokens in a tree of fan-in ``FAN``,
-for ``ROUNDS`` rounds.  Scoring packs documents into lanes and carries the state
-from window to window, so a document's likelihood is that of its whole text.
+``STEPS`` tokens: in each of ``ROUNDS`` rounds every task trains on all windows of
+all its training documents, end tokens included, and parameters are averaged by
+tokens in a tree of fan-in ``FAN``.  Training and scoring pack documents into
+lanes and carry the state from window to window through a document, so what is
+learnt, and a document's likelihood, is that of its whole text.
 
 Defined cases: a null, empty or blank text is its end token.  Repeated rows are
 scored each for itself.  Without training documents every token is unknown and
@@ -24,7 +25,6 @@ from __future__ import annotations
 
 import heapq
 import pickle
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import BLANK, cut, fold, table
+from ._spark import cut, fold, table
 from ._text import slices, word_hashes
 
 MODEL_WORDS = 4094
@@ -42,9 +42,11 @@ CLASS = 64
 HEAD = 1 << 18
 HIDDEN = 32
 STEPS = 32
-#: Characters of a document that a training window is cut from; over STEPS words of usual length.
-WINDOW_CHARS = 400
 LANES = 256
+#: Classes of at most so many targets are taken together.
+FEW = 16
+#: Windows of one training step.
+BATCH = 64
 ROUNDS = 2
 FAN = 8
 RATE = 0.05
@@ -59,6 +61,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _lanes(lengths: np.ndarray, most: int) -> list[list[int]]:
+    """Sequences dealt to at most ``most`` lanes of about equal length, no more than the longest one fills."""
+    lanes = int(max(1, min(most, lengths.sum() // max(1, lengths.max()) + 1)))
+    heap = [(0, lane) for lane in range(lanes)]
+    plan: list[list[int]] = [[] for _ in range(lanes)]
+    for i in np.argsort(-lengths, kind="stable"):  # longest first, to the emptiest lane
+        held, lane = heapq.heappop(heap)
+        plan[lane].append(i)
+        heapq.heappush(heap, (held + int(lengths[i]), lane))
+    return plan
+
+
 class Network:
     """GRU with a class-factored softmax.  Symbol ``n - 2`` is the rare word, ``n - 1`` the end."""
 
@@ -81,7 +95,10 @@ class Network:
         }
 
     def step(self, h: np.ndarray, tokens: np.ndarray) -> tuple:
-        gx, gh = self.p["x"][tokens], h @ self.p["u"]
+        return self._step(h, self.p["x"][tokens])
+
+    def _step(self, h: np.ndarray, gx: np.ndarray) -> tuple:
+        gh = h @ self.p["u"]
         gates = _sigmoid(gx[:, : 2 * HIDDEN] + gh[:, : 2 * HIDDEN])
         z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
         new = np.tanh(gx[:, 2 * HIDDEN :] + r * gh[:, 2 * HIDDEN :])
@@ -109,7 +126,28 @@ class Network:
         order = np.argsort(cls, kind="stable")
         ends = np.searchsorted(cls[order], np.arange(self.classes + 1))
         ones = np.ones(CLASS, np.float32)
-        for c in np.flatnonzero(np.diff(ends)):
+        size = np.diff(ends)
+        few = np.flatnonzero((size > 0) & (size <= FEW))
+        if len(few):
+            valid = np.arange(FEW) < size[few, None]
+            at = order[np.minimum(ends[few, None] + np.arange(FEW), len(order) - 1)]
+            w, hc = self.p["w"][few], h[at] * valid[:, :, None]
+            e = hc @ w
+            e += self.p["wb"][few, None]
+            np.minimum(e, _TOP, out=e)
+            place = (np.arange(len(few))[:, None], np.arange(FEW), within[at])
+            mine = e[place].astype(np.float64)
+            np.exp(e, out=e)
+            s = e @ ones
+            out[at[valid]] += (mine - np.log(s))[valid]
+            if grad is not None:
+                e /= s[:, :, None]
+                e[place] -= 1
+                e *= valid[:, :, None]
+                grad["w"][few] += hc.transpose(0, 2, 1) @ e
+                grad["wb"][few] += e.sum(1)
+                dh[at[valid]] += (e @ w.transpose(0, 2, 1))[valid]
+        for c in np.flatnonzero(size > FEW):
             at = order[ends[c] : ends[c + 1]]
             hc = h[at]
             e = hc @ self.p["w"][c]
@@ -128,15 +166,38 @@ class Network:
                 dh[at] += e @ self.p["w"][c].T
         return out, dh
 
-    def train(self, windows: np.ndarray, memory: dict) -> None:
-        """One Adagrad step on windows (lanes, STEPS + 1), by backpropagation through the window."""
+    def learn(self, docs: list[np.ndarray], memory: dict) -> int:
+        """Train on every window of each symbol sequence, state carried to its end; the number of tokens trained on."""
+        if not docs:
+            return 0
+        end = self.n - 1
+        # a document's end is the input that the next one of its lane starts from
+        streams = [np.concatenate([[end], *[docs[i] for i in sorted(lane)]]) for lane in _lanes(np.array([len(d) for d in docs]), BATCH)]
+        steps = -(-(max(map(len, streams)) - 1) // STEPS) * STEPS
+        tokens = np.full((len(streams), steps + 1), -1, np.int64)
+        for lane, x in enumerate(streams):
+            tokens[lane, : len(x)] = x
+        h = np.zeros((len(streams), HIDDEN), np.float32)
+        for lo in range(0, steps, STEPS):
+            windows = tokens[:, lo : lo + STEPS + 1]
+            h = self.train(windows, memory, h, windows[:, :-1] == end)
+        return sum(map(len, docs))
+
+    def train(self, windows: np.ndarray, memory: dict, h: np.ndarray | None = None, first: np.ndarray | None = None) -> np.ndarray:
+        """One Adagrad step on windows (lanes, STEPS + 1), by backpropagation through the window.
+
+        ``h`` is the state before it, zero where ``first`` says that a document starts; the state after it is returned.
+        """
         lanes, length = windows.shape[0], windows.shape[1] - 1
         grad = {k: np.zeros_like(v) for k, v in self.p.items() if k != "x"}
-        h = np.zeros((lanes, HIDDEN), np.float32)
+        h = np.zeros((lanes, HIDDEN), np.float32) if h is None else h
+        first = np.zeros((lanes, length), bool) if first is None else first
+        given = self.p["x"][windows[:, :-1].T]
+        starts = first.any(0)
         states, kept = [], []
         for t in range(length):
-            before = h
-            h, *rest = self.step(h, windows[:, t])
+            before = np.where(first[:, t, None], np.float32(0), h) if starts[t] else h
+            h, *rest = self._step(before, given[t])
             states.append(h)
             kept.append((before, *rest))
         real = windows[:, 1:].T.reshape(-1) >= 0
@@ -146,24 +207,31 @@ class Network:
         every[real] = dh
         every = every.reshape(length, lanes, HIDDEN)
         after = np.zeros((lanes, HIDDEN), np.float32)
-        gates = np.empty((length, lanes, 3 * HIDDEN), np.float32)
+        befores, z, r, new, gh = (np.stack(x) for x in zip(*kept))
+        by_n, by_z, by_r = (1 - z) * (1 - new * new), (befores - new) * z * (1 - z), gh * r * (1 - r)
+        gates = np.empty((length, lanes, 3 * HIDDEN), np.float32)  # dz, dr and dn; dn * r for the state's part
+        back, down = np.empty_like(gates), np.ascontiguousarray(self.p["u"].T)
         for t in range(length - 1, -1, -1):
-            before, z, r, new, gh = kept[t]
             d = every[t] + after
-            dn = d * (1 - z) * (1 - new * new)
-            dz = d * (before - new) * z * (1 - z)
-            dr = dn * gh * r * (1 - r)
-            dg = np.concatenate((dz, dr, dn * r), 1)
-            gates[t] = np.concatenate((dz, dr, dn), 1)
-            grad["u"] += before.T @ dg
-            after = d * z + dg @ self.p["u"].T
+            dn = d * by_n[t]
+            dg = back[t]
+            dg[:, :HIDDEN] = d * by_z[t]
+            dg[:, HIDDEN : 2 * HIDDEN] = dn * by_r[t]
+            dg[:, 2 * HIDDEN :] = dn * r[t]
+            gates[t, :, 2 * HIDDEN :] = dn
+            after = d * z[t] + dg @ down
+            if starts[t]:
+                after[first[:, t]] = 0
+        gates[:, :, : 2 * HIDDEN] = back[:, :, : 2 * HIDDEN]
+        grad["u"] += befores.reshape(-1, HIDDEN).T @ back.reshape(-1, 3 * HIDDEN)
         count = max(1, int(real.sum())) / 64
         for k, g in grad.items():
             self._descend(k, slice(None), g / count, memory)
         inputs = windows[:, :-1].T.reshape(-1)
         order = np.argsort(inputs, kind="stable")[int((inputs < 0).sum()) :]
-        rows, first = np.unique(inputs[order], return_index=True)
-        self._descend("x", rows, np.add.reduceat(gates.reshape(-1, 3 * HIDDEN)[order], first, axis=0) / count, memory)
+        rows, at = np.unique(inputs[order], return_index=True)
+        self._descend("x", rows, np.add.reduceat(gates.reshape(-1, 3 * HIDDEN)[order], at, axis=0) / count, memory)
+        return h
 
     def _descend(self, name: str, rows, g: np.ndarray, memory: dict) -> None:
         np.clip(g, -CLIP, CLIP, out=g)
@@ -176,14 +244,8 @@ class Network:
         if not docs:
             return total
         lengths = np.array([len(d) for d in docs])
-        lanes = int(max(1, min(LANES, lengths.sum() // max(1, lengths.max()) + 1)))
-        heap = [(0, lane) for lane in range(lanes)]
-        plan: list[list[int]] = [[] for _ in range(lanes)]
-        for i in np.argsort(-lengths, kind="stable"):  # longest first, to the emptiest lane
-            held, lane = heapq.heappop(heap)
-            plan[lane].append(i)
-            heapq.heappush(heap, (held + int(lengths[i]), lane))
-        end = self.n - 1
+        plan = _lanes(lengths, LANES)
+        lanes, end = len(plan), self.n - 1
         steps = max(sum(lengths[i] for i in lane) for lane in plan)
         target = np.full((steps, lanes), -1, np.int32)
         first = np.zeros((steps, lanes), bool)
@@ -288,21 +350,7 @@ def _by_task():
     return Window.orderBy("task")  # at most FAN rows
 
 
-def _window(text: str, salt: int) -> tuple[str, bool, bool]:
-    """A seeded stretch of WINDOW_CHARS characters from a blank on, and whether it opens and closes the text."""
-    at = zlib.crc32(f"{salt} {len(text)} {text[:64]}".encode("utf-8", "replace")) % max(1, len(text) - WINDOW_CHARS // 2)
-    if at < WINDOW_CHARS // 4:
-        at = 0
-    piece = text[at : at + WINDOW_CHARS]
-    closes = at + WINDOW_CHARS >= len(text)
-    if at:
-        piece = piece[next((i for i, c in enumerate(piece) if c in BLANK), len(piece)) :]
-    if not closes:  # the last word may be cut
-        piece = piece[: next((i for i in range(len(piece), 0, -1) if piece[i - 1] in BLANK), 0)]
-    return piece, at == 0, closes
-
-
-def _train_round(training: DataFrame, model: Model, salt: int) -> DataFrame:
+def _train_round(training: DataFrame, model: Model) -> DataFrame:
     held = training.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,33 +358,14 @@ def _train_round(training: DataFrame, model: Model, salt: int) -> DataFrame:
 
         m = pickle.loads(pickle.dumps(held.value))
         memory = {k: np.full_like(v, 0.01) for k, v in m.network.p.items()}
-        pending, tokens = [], 0
-        end = m.network.n - 1
-
-        def learn(some: list[np.ndarray]) -> None:
-            windows = np.full((len(some), STEPS + 1), -1, np.int64)
-            for i, x in enumerate(some):
-                windows[i, : len(x)] = x
-            m.network.train(windows, memory)
-
+        tokens, end = 0, np.int32(m.network.n - 1)
         for b in batches:
-            found = [_window(t.as_py() or "", salt) for t in b.column(0)]
-            for lo, hi in slices([w for w, _, _ in found], 1 << 22):
-                words, owner = word_hashes([w for w, _, _ in found[lo:hi]])
+            texts = b.column(0).to_pylist()
+            for lo, hi in slices(texts, 1 << 22):
+                words, owner = word_hashes(texts[lo:hi])
                 symbols = m.symbols(m.lookup(words))
                 stop = np.searchsorted(owner, np.arange(hi - lo + 1))
-                for i, (_, opens, closes) in enumerate(found[lo:hi]):
-                    x = symbols[stop[i] : stop[i + 1]]
-                    x = np.concatenate(([end] if opens else [], x, [end] if closes else []))[: STEPS + 1]
-                    if len(x) < 2:
-                        continue
-                    pending.append(x)
-                    tokens += len(x) - 1
-                    if len(pending) == 64:
-                        learn(pending)
-                        pending = []
-        if pending:
-            learn(pending)
+                tokens += m.network.learn([np.append(symbols[stop[i] : stop[i + 1]], end) for i in range(hi - lo)], memory)
         if tokens:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(tokens)]), pa.array([pickle.dumps(m.network.p)], pa.binary())], names=["task", "weight", "params"])
 
@@ -369,8 +398,8 @@ def fit(training: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
     network = Network(np.concatenate((known.astype(float), [rare, n_docs])))
     distinct = int(sums[1]) + (n_docs > 0)
     model = Model(words[order], count[order], symbol[order].astype(np.int32), n_docs, int(sums[0]) + n_docs, distinct, rare + (int(sums[1]) - len(known)) + 1.0, network)
-    for salt in range(rounds):
-        if (p := _average(_train_round(training, model, salt))) is not None:
+    for _ in range(rounds):
+        if (p := _average(_train_round(training, model))) is not None:
             model.network.p = p
     return model
 

@@ -82,6 +82,56 @@ def test_gradients_by_differences():
         assert got * count == pytest.approx((up - down) / 2e-4, rel=2e-2, abs=2e-3), (name, at)
 
 
+def test_training_goes_through_whole_texts_with_the_state(monkeypatch):
+    """Every token is a target once, and the states met are those of each text from its own start to its end."""
+    n = net()
+    rng = np.random.default_rng(4)
+    docs = [np.append(rng.integers(0, n.n - 1, k), n.n - 1).astype(np.int32) for k in (0, 1, 31, 32, 33, 500, 70, 64)]
+    monkeypatch.setattr(m, "BATCH", 3)
+    n._descend = lambda *a: None  # parameters stay, so that states can be compared
+    met, log_probs = [], n.log_probs
+    monkeypatch.setattr(n, "log_probs", lambda h, targets, grad=None: (met.append((h, targets)), log_probs(h, targets, grad))[1])
+    assert n.learn(docs, {}) == sum(map(len, docs))
+    want = []
+    for d in docs:
+        h, before = np.zeros((1, m.HIDDEN), np.float32), n.n - 1
+        for t in d:
+            h = n.step(h, np.array([before]))[0]
+            want.append((int(t), *h[0, :4].round(3).tolist()))
+            before = t
+    got = [(int(t), *x[:4].round(3).tolist()) for h, targets in met for x, t in zip(h, targets)]
+    assert len(got) == len(want)
+    assert np.allclose(sorted(got), sorted(want), atol=3e-3)
+
+
+def test_gradients_across_a_text_border():
+    n = net(80)
+    n.p = {k: v.astype(np.float64) for k, v in n.p.items()}
+    rng = np.random.default_rng(5)
+    windows = rng.integers(0, n.n - 1, (2, 7))
+    first = np.zeros((2, 6), bool)
+    first[0, 3] = first[1, 0] = True
+    start = rng.normal(0, 0.5, (2, m.HIDDEN))
+    seen = {}
+    n._descend = lambda name, rows, g, memory: seen.update({name: g.copy()})
+
+    def loss():
+        total, h = 0.0, start
+        for t in range(6):
+            h = n.step(np.where(first[:, t, None], 0.0, h), windows[:, t])[0]
+            total -= n.log_probs(h, windows[:, t + 1])[0].sum()
+        return total
+
+    n.train(windows, {}, start, first)
+    for at in ((3, 7), (5, 70), (20, 40)):
+        old, found = n.p["u"][at], []
+        for d in (1e-4, -1e-4):
+            n.p["u"][at] = old + d
+            found.append(loss())
+        n.p["u"][at] = old
+        assert seen["u"][at] * 12 / 64 == pytest.approx((found[0] - found[1]) / 2e-4, rel=2e-2, abs=2e-3)
+
+
 def brute(rows):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     split = lambda t: [w for w in re.split("[ \t\n\x0b\x0c\r]+", (t or "").translate(low)) if w]
