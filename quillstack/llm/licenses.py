@@ -6,9 +6,10 @@ subsequence of their positions is kept, and every gap between two anchors is
 aligned the same way, after taking its common beginning and end.  Coverage is
 the share of the template's words that end up matched.
 
-A text is looked at closer only if it contains a trigger, a string that each
-template has; spans to align are stretches of the text rich in word pairs of a
-template.  Scanning is one map over the documents with fixed templates.
+Every text is looked at: a match need not hold the words that tell a notice, so
+no string decides beforehand.  Spans to align are stretches of the text rich in
+word pairs of a template.  Scanning is one map over the documents with fixed
+templates, each of which must contain a trigger, a string that tells a notice.
 
 Defined cases: null, empty or blank texts have no match; overlapping matches
 leave the one with more matched words, then the earlier template; repeated
@@ -134,10 +135,7 @@ class Template:
 
 def scan(text: str | None, templates: list[Template], least: float = LEAST) -> list[dict]:
     """Matches in one text: license, first and last word, matched words, coverage."""
-    low = (text or "").lower()
-    if not any(t in low for t in TRIGGERS):
-        return []
-    words = words_of(low)
+    words = words_of(text or "")
     wanted = set().union(*(t.pairs for t in templates))
     where: dict[tuple[str, str], list[int]] = {}
     for p, pair in enumerate(zip(words, words[1:])):

@@ -52,6 +52,13 @@ def test_scan_finds_whole_changed_and_repeated_notices(spark):
         licenses.matches(frame, (("x", "nothing to trigger on"),))
 
 
+@pytest.mark.parametrize("text, name", [("Available under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Released under the MIT", "MIT")])
+def test_matches_without_a_trigger_string(text, name):
+    ready = [licenses.Template(n, licenses.words_of(t)) for n, t in licenses.TEMPLATES]
+    assert not any(t in text.lower() for t in licenses.TRIGGERS)
+    assert [(f["license"], f["coverage"]) for f in licenses.scan(text, ready)] == [(name, 0.8)]
+
+
 def test_each_template_finds_itself():
     ready = [licenses.Template(n, licenses.words_of(t)) for n, t in licenses.TEMPLATES]
     for name, text in licenses.TEMPLATES:
