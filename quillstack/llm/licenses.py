@@ -110,27 +110,43 @@ class Template:
         self.pairs = set(zip(self.words, self.words[1:]))
         self.span = len(self.words) * 3 // 2 + 2
 
-    def spans(self, where: dict[tuple[str, str], list[int]]) -> Iterator[tuple[int, int]]:
-        """Stretches of a text, given the places of word pairs, that may hold the template."""
-        hits = sorted((p, pair) for pair in self.pairs for p in where.get(pair, ()))
+    def stretch(self, hits: list[tuple[int, tuple[str, str]]], lo: int, hi: int) -> tuple[int, int] | None:
+        """The first stretch of the words from ``lo`` to ``hi``, given the sorted places of word pairs, that may hold the template."""
         need = max(1, len(self.pairs) // 2)
         inside: Counter = Counter()
-        lo = 0
+        tail = bisect_left(hits, (lo,))
         best: tuple[int, int, int] | None = None
-        for hi, (p, pair) in enumerate(hits):
-            inside[pair] += 1
-            while hits[lo][0] < p - self.span:
-                inside[hits[lo][1]] -= 1
-                if not inside[hits[lo][1]]:
-                    del inside[hits[lo][1]]
-                lo += 1
+        for k in range(tail, bisect_left(hits, (hi - 1,))):
+            p, pair = hits[k]
             if best and p - best[1] > self.span:
-                yield best[1], best[2]
-                best = None
+                break
+            inside[pair] += 1
+            while hits[tail][0] < p - self.span:
+                inside[hits[tail][1]] -= 1
+                if not inside[hits[tail][1]]:
+                    del inside[hits[tail][1]]
+                tail += 1
             if len(inside) >= need and (best is None or len(inside) > best[0]):
-                best = (len(inside), hits[lo][0], p + 2)
-        if best:
-            yield best[1], best[2]
+                best = (len(inside), hits[tail][0], p + 2)
+        return best and best[1:]
+
+    def search(self, words: list[str], where: dict[tuple[str, str], list[int]], least: float) -> Iterator[list[tuple[int, int]]]:
+        """Matched places (in the template, in ``words``) of each match; the words before and after a match are searched again."""
+        hits = sorted((p, pair) for pair in self.pairs for p in where.get(pair, ()))
+        room = max(2, len(self.words) // 4)
+        todo = [(0, 0, len(words))]  # pairs from, words from, both up to
+        while todo:
+            lo, floor, hi = todo.pop()
+            if not (found := self.stretch(hits, lo, hi)):
+                continue
+            start = max(floor, found[0] - room)
+            pairs = [(i, start + j) for i, j in patience(self.words, words[start : min(hi, found[1] + room)])]
+            if len(pairs) >= least * len(self.words):
+                yield pairs
+                first, after = pairs[0][1], pairs[-1][1] + 1
+                todo += [(after, after, hi), (lo, floor, first)]
+            else:
+                todo.append((found[0] + 1, floor, hi))
 
 
 def scan(text: str | None, templates: list[Template], least: float = LEAST) -> list[dict]:
@@ -143,12 +159,8 @@ def scan(text: str | None, templates: list[Template], least: float = LEAST) -> l
             where.setdefault(pair, []).append(p)
     found = []
     for t in templates:
-        for lo, hi in t.spans(where):
-            room = max(2, len(t.words) // 4)
-            lo, hi = max(0, lo - room), min(len(words), hi + room)
-            pairs = patience(t.words, words[lo:hi])
-            if len(pairs) >= least * len(t.words):
-                found.append({"license": t.license, "first": lo + pairs[0][1], "last": lo + pairs[-1][1], "matched": len(pairs), "coverage": len(pairs) / len(t.words)})
+        for pairs in t.search(words, where, least):
+            found.append({"license": t.license, "first": pairs[0][1], "last": pairs[-1][1], "matched": len(pairs), "coverage": len(pairs) / len(t.words)})
     kept: list[dict] = []
     for m in sorted(found, key=lambda m: (-m["matched"], m["first"])):
         if all(m["last"] < k["first"] or m["first"] > k["last"] for k in kept):

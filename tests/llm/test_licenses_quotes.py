@@ -59,6 +59,15 @@ def test_matches_without_a_trigger_string(text, name):
     assert [(f["license"], f["coverage"]) for f in licenses.scan(text, ready)] == [(name, 0.8)]
 
 
+@pytest.mark.parametrize("copies", [2, 3, 5])
+def test_adjacent_copies_are_reported_each(copies):
+    ready = [licenses.Template(n, licenses.words_of(t)) for n, t in licenses.TEMPLATES]
+    for name, text in licenses.TEMPLATES:
+        n = len(licenses.words_of(text))
+        found = licenses.scan(" ".join([text] * copies), ready)
+        assert [(f["license"], f["first"], f["last"]) for f in found] == [(name, k * n, k * n + n - 1) for k in range(copies)]
+
+
 def test_each_template_finds_itself():
     ready = [licenses.Template(n, licenses.words_of(t)) for n, t in licenses.TEMPLATES]
     for name, text in licenses.TEMPLATES:
