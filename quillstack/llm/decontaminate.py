@@ -87,7 +87,7 @@ class Index:
         self.least = np.array([max(1, w - self.q + 1 - self.q * e) for w, e in zip(self.width, self.budget)] or [1])
 
     def matches(self, codes: np.ndarray, owner_starts: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, document position, item position, edits) of the first verified window per text and item.
+        """(text, item, document position, item position, edits) of a verified window per text and item, of those around the first seed that has one that of least edits.
 
         ``codes`` are several texts, each followed by ``q`` separators.
         """
@@ -123,40 +123,42 @@ class Index:
             if key in found:
                 continue
             i, w, e = key[1], self.width[key[1]], self.budget[key[1]]
-            # windows that may hold the seed: those on a grid of e + 1 characters, and the item's last
-            for start in sorted({max(0, min(int(place[s]) - back, len(self.items[i]) - w)) for back in range(0, e + 2)}):
-                mark = (*key, start, int(diagonal[s]))
-                if mark in tried:
-                    continue
-                tried.add(mark)
-                d = int(diagonal[s]) + start
-                edits = banded(self.items[i][start : start + w], codes, d, e)
-                if edits <= e:
-                    found.add(key)
-                    yield key[0], i, d - int(owner_starts[key[0]]), start, edits
-                    break
+            # the first q-gram that a window shares lies up to q * e characters after its start
+            least, most = max(0, int(place[s]) - self.q * e), min(int(place[s]), len(self.items[i]) - w)
+            starts = [x for x in range(min(least, most), most + 1) if (*key, x, int(diagonal[s])) not in tried]
+            if not starts:
+                continue
+            tried.update((*key, x, int(diagonal[s])) for x in starts)
+            at = np.array(starts)
+            edits = banded_each(self.items[i][at[:, None] + np.arange(w)], codes, int(diagonal[s]) + at, e)
+            best = int(edits.argmin())
+            if edits[best] <= e:
+                found.add(key)
+                yield key[0], i, int(diagonal[s]) + starts[best] - int(owner_starts[key[0]]), starts[best], int(edits[best])
 
 
 def banded(pattern: np.ndarray, codes: np.ndarray, at: int, budget: int) -> int:
     """Least edits turning ``pattern`` into a run of ``codes`` that starts within ``budget`` of ``at``; budget + 1 if more."""
-    lo = at - budget
-    if lo >= 0 and at + len(pattern) <= len(codes) and np.array_equal(pattern, codes[at : at + len(pattern)]):
-        return 0
-    width = 4 * budget + 1  # start shift of +-budget, path drift of +-budget
-    lo = at - 2 * budget
-    row = np.zeros(width, np.int64)  # free start anywhere in the band
-    steps = np.arange(width)
-    for k, c in enumerate(pattern):
-        here = lo + k + steps
-        inside = (here >= 0) & (here < len(codes))
-        same = inside & (codes[np.clip(here, 0, len(codes) - 1)] == c)
-        new = row + ~same
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)  # pattern character left out
-        new = np.minimum.accumulate(new - steps) + steps  # extra text characters
-        row = new
+    return int(banded_each(pattern[None, :], codes, np.array([at]), budget)[0])
+
+
+def banded_each(patterns: np.ndarray, codes: np.ndarray, at: np.ndarray, budget: int) -> np.ndarray:
+    """``banded`` of each row of ``patterns`` at each place of ``at``."""
+    length = patterns.shape[1]
+    steps = np.arange(4 * budget + 1)  # start shift of +-budget, path drift of +-budget
+    here = (at - 2 * budget)[:, None] + np.arange(length + 4 * budget)
+    text = np.where((here >= 0) & (here < len(codes)), codes[np.clip(here, 0, len(codes) - 1)].astype(np.int64), -1)
+    exact = (text[:, 2 * budget : 2 * budget + length] == patterns).all(1)
+    if exact.any():
+        return np.where(exact, 0, budget + 1)
+    row = np.zeros((len(at), len(steps)), np.int64)  # free start anywhere in the band
+    for k in range(length):
+        new = row + (text[:, k : k + len(steps)] != patterns[:, k, None])
+        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)  # pattern character left out
+        row = np.minimum.accumulate(new - steps, axis=1) + steps  # extra text characters
         if row.min() > budget:
-            return budget + 1
-    return int(min(row.min(), budget + 1))
+            break
+    return np.minimum(row.min(1), budget + 1)
 
 
 def blocks(benchmark: DataFrame, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:

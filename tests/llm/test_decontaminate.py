@@ -37,6 +37,25 @@ def test_banded_is_exact_inside_the_budget():
         assert got == want if want <= 6 else got > 6 or got >= want
 
 
+def test_short_fragments_with_early_edits_like_brute_force():
+    """A text that holds a window of the item within the budget is found, wherever the edits are."""
+    rng = random.Random(3)
+    hits = 0
+    for n in range(120):
+        item = words(rng, 60)
+        at = rng.randrange(0, len(item) - 90)
+        piece = list(item[at : at + rng.choice((64, 68, 72, 80))])
+        for k in rng.sample(range(40), 3):
+            piece[k : k + 1] = rng.choice(([], ["#"], [piece[k], "#"]))
+        text = words(rng, 9) + "".join(piece) + words(rng, 9)
+        index = m.Index([1], [m._codes(item)], m.Q, m.WINDOW, m.EDITS)
+        found = list(index.matches(m._codes(text + "\x00" * m.Q), np.array([0])))
+        want = any(distance(item[x : x + m.WINDOW], text) <= int(m.EDITS * m.WINDOW) for x in range(max(0, at - 4), min(len(item) - m.WINDOW, at + 20) + 1))
+        hits += want
+        assert bool(found) == want, n
+    assert hits > 100
+
+
 def test_planted_passages(spark):
     rng = random.Random(2)
     items = [(i, words(rng, 40)) for i in range(6)] + [(6, None), (7, "short"), (8, words(rng, 5) + " tail of an item"), (1, words(rng, 40))]
