@@ -15,7 +15,8 @@ characters, each block one pass over the documents, which are never shuffled.
 
 Defined cases: null or empty texts have no hits; items shorter than
 ``MIN_CHARS`` characters or null are not looked for, they carry no evidence;
-items shorter than a q-gram cannot be; repeated items report the least id;
+items shorter than a q-gram cannot be; items without an id are looked for and
+reported with a null id; repeated items report the least id;
 repeated documents are judged each for itself.  Empty tables give empty
 results or nothing contaminated.
 """
@@ -67,7 +68,7 @@ def _qgrams(codes: np.ndarray, q: int) -> np.ndarray:
 class Index:
     """q-grams of a block of items, sorted, with a bit table for quick misses."""
 
-    ids: list[int]
+    ids: list[int | None]
     items: list[np.ndarray]
     q: int
     window: int
@@ -161,13 +162,13 @@ def banded_each(patterns: np.ndarray, codes: np.ndarray, at: np.ndarray, budget:
     return np.minimum(row.min(1), budget + 1)
 
 
-def blocks(benchmark: DataFrame, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:
     """The items by id in blocks of at most ``block_chars`` characters (one item at least), fetched one at a time."""
-    items = benchmark.select(F.col("item_id").alias("id"), "text").filter("text IS NOT NULL AND item_id IS NOT NULL")
-    sums = F.sum(F.length("text")).over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    items = benchmark.select(F.col("item_id").alias("id"), "text").filter("text IS NOT NULL")
+    sums = F.sum(F.length("text")).over(Window.orderBy("id", "text").rowsBetween(Window.unboundedPreceding, 0))
     numbered = items.withColumn("block", F.floor((sums - 1) / block_chars))  # one row per item: the query set
     for (block,) in numbered.select("block").distinct().orderBy("block").collect():
-        yield [(r["id"], t) for r in numbered.filter(F.col("block") == block).orderBy("id").collect() if len(t := normal(r["text"])) >= max(min_chars, Q)]
+        yield [(r["id"], t) for r in numbered.filter(F.col("block") == block).orderBy("id", "text").collect() if len(t := normal(r["text"])) >= max(min_chars, Q)]
 
 
 def _scan(docs: DataFrame, index: Index, to: str) -> DataFrame:

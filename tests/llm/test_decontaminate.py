@@ -74,6 +74,14 @@ def test_planted_passages(spark):
     assert m.keep_clean(frame.limit(0), bench).count() == 0
 
 
+def test_items_without_an_id_are_looked_for(spark):
+    rng = random.Random(4)
+    items = [(None, words(rng, 30)), (None, words(rng, 30)), (5, words(rng, 30))]
+    docs = [(i, words(rng, 20) + " " + t + " " + words(rng, 20)) for i, (_, t) in enumerate(items)] + [(3, words(rng, 60))]
+    found = m.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"]: [x["item_id"] for x in r["found"]] for r in found.collect()} == {0: [None], 1: [None], 2: [5], 3: []}
+
+
 def test_blocks_find_the_same(spark, data, monkeypatch):
     docs, bench = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{data}/benchmark.parquet")
     got = lambda: {r["doc_id"]: sorted(x["item_id"] for x in r["found"]) for r in m.matches(docs, bench).collect()}
