@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, release, sized, table
+from ._spark import cut, lower_az, release, sized, table, words
 from ._text import mix, shingles, slices, unique_per_text, word_hashes
 
 SHINGLE = 5
@@ -378,6 +378,16 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document, that of the least id, of each near-duplicate class."""
-    gone = classes(docs).filter("doc_id <> class_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with one row, of the least id, of each near-duplicate class; rows without an id are in no class, but of exact copies among them one stays."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    gone = cut(classes(docs).filter("doc_id <> class_id").select("doc_id"))
+    named, unnamed = docs.filter("doc_id IS NOT NULL"), docs.filter("doc_id IS NULL")
+    many = cut(named.groupBy("doc_id").agg(F.count("*").alias("__n")).filter("__n > 1").select("doc_id"))
+    once = named.join(gone.unionByName(many), "doc_id", "left_anti").select(*columns)
+    least = F.min(F.struct(*columns)).alias("__row")
+    again = named.join(many.join(gone, "doc_id", "left_anti"), "doc_id", "left_semi").groupBy("doc_id").agg(least)
+    text = F.array_join(words(lower_az(F.col("text"))), " ")
+    keyed = unnamed.withColumn("__text", text)
+    copies = keyed.filter("__text <> ''").groupBy("__text").agg(least)
+    rows = again.select("__row.*").unionByName(copies.select("__row.*"))
+    return once.unionByName(rows).unionByName(keyed.filter("__text = ''").select(*columns))

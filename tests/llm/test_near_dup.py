@@ -87,6 +87,13 @@ def test_keep_one_and_extra_columns(spark):
     assert m.keep_one(docs.limit(0)).collect() == []
 
 
+def test_keep_one_of_repeated_rows_and_rows_without_an_id(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (1, "A b c d e f", "x"), (2, "a b c d e f", "y"), (2, "a b c d e f", "y"), (4, None, "z"), (4, None, "z"), (5, "g h i j k", "w"),
+            (None, "l m n", "n"), (None, "L  m n", "n"), (None, "l m n o", "o"), (None, None, "p"), (None, " ", "p")]
+    kept = m.keep_one(spark.createDataFrame(rows, "doc_id long, text string, label string")).collect()
+    assert sorted((str(r["doc_id"]), r["label"]) for r in kept) == [("1", "x"), ("4", "z"), ("5", "w"), ("None", "n"), ("None", "o"), ("None", "p"), ("None", "p")]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (103, 101), (7, 7)]
     got = {r["node"]: r["label"] for r in m.components(spark.createDataFrame(edges, "a long, b long")).collect()}
