@@ -1,13 +1,15 @@
 """Near-duplicate classes by DartMinHash.
 
 Exact copies (equal lower-cased word sequences) fold into one text first.  Each
-remaining text throws hashed darts at the areas of its five-word shingles:
-weight along one axis, rank along the other, cut into fixed dyadic cells so
-that equal shingles of any two texts meet the same darts.  A dart that lands
+remaining text throws hashed darts at the areas of its five-word shingles: weight,
+the number of times a shingle occurs, along one axis, rank along the other, cut
+into fixed dyadic cells so that equal shingles of any two texts meet the same
+darts.  A dart that lands
 under its shingle's weight and under the text's rank limit belongs to the text;
 every coordinate keeps its earliest dart.  Runs of ``ROWS`` coordinates make
-``BANDS`` band keys.  Texts sharing a band key are compared, exactly, by their
-shingle sets.
+``BANDS`` band keys.  Texts sharing a band key are compared by their whole
+weighted shingle sets: a link is a weighted Jaccard similarity of ``SIMILARITY``
+or more, shingles being told apart by 48 bits of their hash.
 
 No bucket is expanded into all its pairs.  Inside a bucket every text is first
 compared with one centre, twice with different centres; texts that are then in
@@ -21,7 +23,8 @@ contraction, each round cut by checkpoint().
 
 Defined cases: a null, empty or blank text is in a class by itself.  A text of
 fewer than five words has one shingle, all its words.  Repeated rows of one id
-share a class.  Rows without an id are in no class.  An empty table gives an empty result.
+share a class.  Rows without an id are in no class.  Ids may be of any type that
+sorts; other columns are not read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,6 +49,8 @@ DARTS = 7 * BANDS * ROWS
 #: Open buckets of at most DIRECT texts are compared pair by pair, larger ones in blocks of about BLOCK.
 DIRECT = 64
 BLOCK = 256
+#: A block of texts holds about so many bytes of shingles at most, one text at least.
+BLOCK_BYTES = 1 << 25
 _LOWEST = -4  # the lowest rank cell is [0, 2**-4)
 _UNIT = float(2**53)
 
@@ -73,26 +78,21 @@ def _poisson(u: np.ndarray, rate: float) -> np.ndarray:
     return count
 
 
-def _throw(items: np.ndarray, weights: np.ndarray, lo: np.ndarray, width: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Darts in one rank cell per item, from ``lo`` on: (place, rank, coordinate, identity) of those under their weight."""
-    found = []
-    level, w_lo, w_hi = 0, 0.0, 1.0
-    live = np.arange(len(items))
-    while len(live):
-        edge = lo[live] + np.float64(level) * 2.0**40  # names the cell; exact, as ranks are short binary fractions
-        seed = mix(items[live] ^ mix(edge.view(np.uint64) + np.uint64(1)))
-        count = _poisson(_uniform(seed), width * (w_hi - w_lo))
-        hit = np.flatnonzero(count)
-        at = np.repeat(hit, count[hit])
-        nth = np.arange(len(at)) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit])
-        dart = mix(seed[at] + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-        place = live[at]
-        rank = lo[place] + width * _uniform(mix(dart + np.uint64(1)))
-        under = w_lo + (w_hi - w_lo) * _uniform(mix(dart + np.uint64(2))) < weights[place]
-        found.append((place[under], rank[under], (mix(dart + np.uint64(3)) % np.uint64(k)).astype(np.int64)[under], dart[under]))
-        level, w_lo, w_hi = level + 1, w_hi, w_hi + 1.0
-        live = np.flatnonzero(weights > w_lo)
-    return tuple(np.concatenate([f[i] for f in found]) for i in range(4)) if found else tuple(np.zeros(0, t) for t in (np.int64, float, np.int64, np.uint64))
+def _throw(items: np.ndarray, weights: np.ndarray, level: int, w_lo: float, w_span: float, lo: np.ndarray, width: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Darts in one cell per item: (place, rank times ``w_span``, coordinate, identity) of those under their weight.
+
+    The cell's weights go from ``w_lo`` over ``w_span``, its ranks, times ``w_span``, from ``lo`` over ``width``, which is its area too.
+    """
+    edge = lo + np.float64(level) * 2.0**40  # names the cell; exact, as ranks are short binary fractions
+    seed = mix(items ^ mix(edge.view(np.uint64) + np.uint64(1)))
+    count = _poisson(_uniform(seed), width)
+    hit = np.flatnonzero(count)
+    at = np.repeat(hit, count[hit])
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit])
+    dart = mix(seed[at] + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    rank = lo[at] + width * _uniform(mix(dart + np.uint64(1)))
+    under = w_lo + w_span * _uniform(mix(dart + np.uint64(2))) < weights[at]
+    return at[under], rank[under], (mix(dart + np.uint64(3)) % np.uint64(k)).astype(np.int64)[under], dart[under]
 
 
 def dart_signatures(items: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, k: int = BANDS * ROWS, darts: int = DARTS) -> np.ndarray:
@@ -112,28 +112,36 @@ def _signatures(items: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: in
     total = np.bincount(owner, weights=weights, minlength=n)
     limit = np.zeros(n)
     full = total > 0
-    limit[full] = 2.0 ** np.maximum(_LOWEST, np.ceil(np.log2(darts / total[full])))
+    limit[full] = 2.0 ** np.ceil(np.log2(darts / total[full]))
     done = np.zeros(n)
     todo = full.copy()
     while todo.any():
-        for lo, hi, cells in _spans(limit[todo].max()):
-            rows = todo & (limit >= hi) & (done < hi)
-            at = np.flatnonzero(rows[owner])
-            if not len(at):
-                continue
-            width = (hi - lo) / cells
-            at = np.repeat(at, cells)
-            start = np.tile(lo + width * np.arange(cells), len(at) // cells)
-            i, rank, coordinate, dart = _throw(items[at], weights[at], start, width, k)
-            slot = owner[at[i]] * k + coordinate
-            order = np.lexsort((dart, rank, slot))
-            slot = slot[order]
-            first = np.ones(len(slot), bool)
-            first[1:] = slot[1:] != slot[:-1]
-            slot, first = slot[first], order[first]
-            better = rank[first] < best[slot]
-            best[slot[better]] = rank[first[better]]
-            sig[slot[better]] = dart[first[better]]
+        live = np.flatnonzero(todo[owner])
+        level, w_lo, w_span = 0, 0.0, 1.0  # weights from 0 to 1, then in octaves
+        while len(live):
+            top, below = limit[owner[live]] * w_span, done[owner[live]] * w_span
+            for lo, hi, cells in _spans(max(top.max(), 2.0**_LOWEST)):
+                at = live[(top > lo) & (below < hi)]
+                if not len(at):
+                    continue
+                width = (hi - lo) / cells
+                at = np.repeat(at, cells)
+                start = np.tile(lo + width * np.arange(cells), len(at) // cells)
+                i, rank, coordinate, dart = _throw(items[at], weights[at], level, w_lo, w_span, start, width, k)
+                rank, mine = rank / w_span, owner[at[i]]
+                inside = rank < limit[mine]
+                rank, dart, slot = rank[inside], dart[inside], (mine * k + coordinate)[inside]
+                order = np.lexsort((dart, rank, slot))
+                slot = slot[order]
+                first = np.ones(len(slot), bool)
+                first[1:] = slot[1:] != slot[:-1]
+                slot, first = slot[first], order[first]
+                better = rank[first] < best[slot]
+                best[slot[better]] = rank[first[better]]
+                sig[slot[better]] = dart[first[better]]
+            w_lo = w_lo + w_span
+            w_span, level = w_lo, level + 1
+            live = live[weights[live] > w_lo]
         done = np.where(todo, limit, done)
         todo = full & np.isinf(best.reshape(n, k)).any(axis=1)
         limit = np.where(todo, limit * 2, limit)
@@ -172,28 +180,40 @@ def signed(docs: DataFrame) -> DataFrame:
             for lo, hi in slices(texts):
                 words, owner = word_hashes(texts[lo:hi])
                 k1, k2, empty = _text_keys(words, owner, hi - lo)
-                items, owner, _ = unique_per_text(*shingles(words, owner, SHINGLE, hi - lo))
-                keys = band_keys(dart_signatures(items, np.ones(len(items)), owner, hi - lo)).view(np.int64)
+                items, owner, count = unique_per_text(*shingles(words, owner, SHINGLE, hi - lo))
+                keys = band_keys(dart_signatures(items, count.astype(np.float64), owner, hi - lo)).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
                 out = pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(k1), pa.array(k2), lists], names=["doc_id", "k1", "k2", "keys"])
                 yield out.filter(pa.array(~empty))
 
-    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, k1 long, k2 long, keys array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, keys array<long>")
+
+
+def occurrences(items: np.ndarray, owner: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted sets as plain ones: a value of its own for each occurrence of an item, sorted per owner.  Jaccard similarity of these sets is the weighted one."""
+    if not len(count) or count.max() == 1:
+        return items, owner
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    items, owner = np.repeat(items, count), np.repeat(owner, count)
+    items = np.where(nth == 0, items, mix(items + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    order = np.lexsort((items, owner))
+    return items[order], owner[order]
 
 
 def _set_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles binary): sorted 32-bit shingle hashes."""
+    """(doc_id, shingles binary): sorted 64-bit values, one for each occurrence of a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             for lo, hi in slices(texts):
-                items, owner, _ = unique_per_text(*shingles(*word_hashes(texts[lo:hi]), SHINGLE, hi - lo))
-                small = (items >> np.uint64(32)).astype(np.uint32)  # order is kept
+                items, owner = occurrences(*unique_per_text(*shingles(*word_hashes(texts[lo:hi]), SHINGLE, hi - lo)))
                 ends = np.searchsorted(owner, np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array([small[ends[i] : ends[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array([items[ends[i] : ends[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], names=["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shingles binary")
 
 
 def _similar(a: Column, b: Column, least: float) -> Column:
@@ -201,7 +221,7 @@ def _similar(a: Column, b: Column, least: float) -> Column:
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for p, q in zip(x, y):
-            p, q = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
+            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
             if min(len(p), len(q)) < least * max(len(p), len(q)):
                 out.append(False)
                 continue
@@ -258,7 +278,8 @@ def near_links(texts: DataFrame, bands: DataFrame, least: float = SIMILARITY) ->
     """
     spark = texts.sparkSession
     members = bands.select("doc_id", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    # aggregates by key are cut before they are joined: both sides are then exchanged anew, and a large bucket may be split
+    shared = cut(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
     members = cut(members.join(shared, "key").distinct())
     release(spark)
     sets = cut(_set_rows(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi")))
@@ -267,7 +288,7 @@ def near_links(texts: DataFrame, bands: DataFrame, least: float = SIMILARITY) ->
     for salt in (1, 2):
         open_members = members.withColumn("label", F.col("doc_id")) if labels is None else cut(_open(_labelled(members, labels)))
         order = F.struct(F.xxhash64(F.lit(salt), "doc_id").alias("h"), "doc_id", "label")
-        centres = open_members.groupBy("key").agg(F.min(order).alias("c"))
+        centres = cut(open_members.groupBy("key").agg(F.min(order).alias("c")))
         pairs = open_members.join(centres, "key").filter("label <> c.label").select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
         found = cut(_verified(cut(pairs), sets, least))
         # the stars found so far stand for their links
@@ -285,7 +306,7 @@ def near_links(texts: DataFrame, bands: DataFrame, least: float = SIMILARITY) ->
 
 def _open(members: DataFrame) -> DataFrame:
     """Members of buckets that still hold more than one component."""
-    mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    mixed = cut(members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"))
     return members.join(mixed, "key")
 
 
@@ -304,16 +325,19 @@ def _blockwise(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     blocks and gives out links that tie its components together, never its
     pairs.  ``rows`` has (key, doc_id, label, size).
     """
-    n = F.ceil(F.col("size") / BLOCK)
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("doc_id", "key"), n)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    heavy = rows.select("key", "doc_id").join(sets.select("doc_id", F.octet_length("shingles").alias("bytes")), "doc_id").groupBy("key").agg(F.sum("bytes").alias("bytes"))
+    n = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))
+    dealt = rows.join(cut(heavy), "key").withColumn("own", F.pmod(F.xxhash64("doc_id", "key"), n)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     tasks = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "label").join(sets, "doc_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, labels = pdf["doc_id"].to_numpy(np.int64), pdf["label"].to_numpy(np.int64)
-        a, b = spanning_links([np.frombuffer(x, np.uint32) for x in pdf["shingles"]], labels, least)
-        return pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
+        ids = pdf["doc_id"].to_numpy()
+        a, b = spanning_links([np.frombuffer(x, np.uint64) for x in pdf["shingles"]], pd.factorize(pdf["label"])[0], least)
+        a, b = ids[a], ids[b]
+        return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a)})
 
-    return tasks.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return tasks.groupBy("key", "i", "j").applyInPandas(run, f"a {kind}, b {kind}")
 
 
 def spanning_links(sets: list[np.ndarray], labels: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
