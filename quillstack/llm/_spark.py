@@ -31,6 +31,41 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: ``attach`` broadcasts up to so many rows and bytes; its filter has MARKS bitmaps of 4 KB.
+ATTACH_ROWS = 200_000
+ATTACH_BYTES = 32 << 20
+MARKS = 2048
+
+
+def attach(docs: DataFrame, few: DataFrame, value: str, to: str) -> DataFrame:
+    """``docs`` with column ``to``: ``value`` of the row of ``few`` (doc_id, text_hash, value) that has its id and text, else null.
+
+    ``few`` has one row for each key and concerns few documents.  A small one is
+    broadcast.  Of a larger one a bitmap of its keys' hashes is, 8 MB at any
+    size, and only the documents that it marks are exchanged for the join.
+    """
+    few = cut(few.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col(value).alias(to)))
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash == F.col("__hash"))
+    columns = [*[F.col(f"`{c}`") for c in docs.columns if c != to], F.col(to)]
+    size = F.octet_length(F.to_json(F.struct(to)))
+    rows, held = few.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    if not rows:
+        return docs.select(*columns[:-1], F.lit(None).cast(few.schema[to].dataType).alias(to))
+    if rows <= ATTACH_ROWS and held <= ATTACH_BYTES:
+        return docs.join(F.broadcast(few), same, "left").select(*columns)
+    bit = lambda h: F.pmod(F.xxhash64(h, F.lit("mark")), F.lit(MARKS * 32768))
+    marks = few.select(bit(F.col("__hash")).alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("__bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("__marks"))
+    at = docs.withColumn("__bit", bit(text_hash))
+    tried = at.withColumn("__bucket", F.expr("bitmap_bucket_number(__bit + 1)")).join(F.broadcast(cut(marks)), "__bucket", "left")  # MARKS rows of 4 KB
+    place = F.expr("bitmap_bit_position(__bit + 1)")
+    byte = F.conv(F.hex(F.substring("__marks", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    marked = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    flagged = tried.withColumn("__marked", marked).drop("__bit", "__bucket", "__marks")
+    other = flagged.filter("NOT __marked").withColumn(to, F.lit(None).cast(few.schema[to].dataType))
+    return flagged.filter("__marked").join(few, same, "left").select(*columns).unionByName(other.select(*columns))
+
+
 def sized(df: DataFrame, rows: int, per_task: int = 100_000) -> DataFrame:
     """``df``, fresh from ``cut`` and of ``rows`` rows, in no more partitions than its rows need."""
     return df.coalesce(max(1, -(-rows // per_task)))

@@ -1,26 +1,33 @@
 """Line dedup: lines that many documents repeat stay in one document only.
 
-Line hashes are range-partitioned by (hash, document) and sorted inside each
-partition by hash, document and position (Catalyst may serve that order by
-hash aggregation), so a hot line spreads over as many
-partitions as its documents fill.  Streaming over a partition leaves one
-partial row per hash (documents seen, last document); a second, small
+Line hashes are range-partitioned by (hash, document), so a hot line spreads over
+as many partitions as its documents fill, and sorted inside each partition by
+hash, document and position.  A window streams over that order and lets a line's
+first occurrence in each document through; the first occurrences are counted per
+partition and hash (documents seen, last document), and a second, small
 aggregation joins the parts.  The lines of frequent keys meet their keeper in a
-broadcast join of checked size, or a salted one beyond it.  What leaves the operator is a compressed bitmap
-per document: 64-line words with at least one dropped line, no text.
+broadcast join of checked size, or a salted one beyond it.  What leaves the
+operator is a compressed keep bitmap per document: a set bit for each line that
+stays, 64 lines a word, without the words whose bits are all set; no text.
+
+Texts are read twice, once for their hashes and once for the result.  The
+documents that lose lines meet their bitmaps in a broadcast of checked size;
+beyond it a filter of fixed size (``attach``) lets all others pass unmoved.
 
 Defined cases: a null or empty text is one empty line.  Repeated rows of one
 id are one document; ids that are null count as no document and never keep a
 frequent line.  A document that loses all lines stays, with an empty text.
-An empty table gives an empty result.  Extra columns pass through.
+An empty table gives an empty result.  Extra columns pass through; an input
+column named ``n_lines`` or ``n_dropped`` is replaced by the operator's.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._spark import BLANK, cut, lower_az, table
+from ._spark import BLANK, attach, cut, lower_az, table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -32,21 +39,25 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, text_hash, drops map<word, bits>) of the documents that lose lines."""
+def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(doc_id, text_hash, keeps map<word, bits>) of the documents that lose lines; words that are not there have all bits set."""
     lines = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     trimmed = lines.withColumn("line", F.btrim("line", F.lit(BLANK))).filter(F.char_length("line") >= min_chars)
     keyed = trimmed.select("doc_id", "text_hash", "pos", lower_az(F.col("line")).alias("key"))
-    hashed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc_id", "pos", "text_hash")
-    ranged = hashed.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
-    keepers = (
-        ranged.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-        .groupBy("h1", "h2").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
-        .filter(F.col("n_docs") >= min_docs)
-    )
-    drops = _join(hashed, cut(keepers.select("h1", "h2", "keeper"))).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    bits = drops.groupBy("doc_id", "text_hash", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits"))
-    return bits.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("drops"))
+    # cut: the range borders and both passes over the hashes read these rows, not the texts
+    hashed = cut(keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc_id", "pos", "text_hash"))
+    drops = _join(hashed, cut(keepers(hashed, min_docs))).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    bits = drops.groupBy("doc_id", "text_hash", F.shiftright("pos", 6).alias("word")).agg(F.bitwise_not(F.bit_or(F.expr("shiftleft(1L, pos & 63)"))).alias("bits"))
+    return bits.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("keeps"))
+
+
+def keepers(hashed: DataFrame, min_docs: int) -> DataFrame:
+    """(h1, h2, keeper) of the hashes that ``min_docs`` documents hold; ``hashed`` has (h1, h2, doc_id, pos)."""
+    ranged = hashed.select("h1", "h2", "doc_id", "pos").repartitionByRange("h1", "h2", "doc_id")
+    place = F.row_number().over(Window.partitionBy("h1", "h2", "doc_id").orderBy("pos"))
+    first = ranged.withColumn("place", place).filter("place = 1")
+    held = first.groupBy("h1", "h2").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
+    return held.filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
 
 
 def _join(lines: DataFrame, keepers: DataFrame) -> DataFrame:
@@ -59,18 +70,19 @@ def _join(lines: DataFrame, keepers: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with text replaced by its kept lines, plus n_lines and n_dropped."""
-    maps = drop_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("drops").alias("__drops"))
-    lines = _lines(F.col("text"))
-    joined = docs.join(maps, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash")), "left")
-    n_words = F.shiftright(F.size("__lines") - 1, 6)
-    dense = F.when(F.col("__drops").isNotNull(), F.transform(F.sequence(F.lit(0), n_words), lambda w: F.coalesce(F.element_at("__drops", w), F.lit(0).cast("long"))))
-    kept = F.filter("__lines", lambda _, i: F.getbit(F.get("__dense", F.shiftright(i, 6)), i.bitwiseAND(F.lit(63))) == 0)
-    out = joined.withColumn("__lines", lines).withColumn("__dense", dense).withColumn("__kept", F.when(F.col("__drops").isNull(), F.col("__lines")).otherwise(kept))
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_dropped")]
+    # packed, so that no name of the input meets one of the operator
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in others]).alias("others"))
+    joined = attach(packed, keep_bitmaps(docs, min_chars, min_docs), "keeps", "keeps")
+    n_words = F.shiftright(F.size("lines") - 1, 6)
+    dense = F.when(F.col("keeps").isNotNull(), F.transform(F.sequence(F.lit(0), n_words), lambda w: F.coalesce(F.element_at("keeps", w), F.lit(-1).cast("long"))))
+    kept = F.filter("lines", lambda _, i: F.getbit(F.get("dense", F.shiftright(i, 6)), i.bitwiseAND(F.lit(63))) == 1)
+    out = joined.withColumn("lines", _lines(F.col("text"))).withColumn("dense", dense).withColumn("kept", F.when(F.col("keeps").isNull(), F.col("lines")).otherwise(kept))
+    text = F.when(F.col("keeps").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
     return out.select(
-        *[F.when(F.col("__drops").isNull(), F.col(c)).otherwise(F.array_join("__kept", "\n")).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")],
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size("__kept")).cast("long").alias("n_dropped"),
-    )
+        *[text.alias(c) if c == "text" else F.col(c) if c == "doc_id" else F.col("others")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
+        F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
+    )
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,28 @@ def test_extra_columns_pass(spark):
 def test_sql_agrees(spark, data, duck):
     got = sorted(tuple(r) for r in m.op8_line_dedup(spark, data).select("doc_id", "kept_sha256", "n_dropped", "n_lines").collect())
     assert got == sorted(duck.sql(m.SQL).project("doc_id, kept_sha256, n_dropped, n_lines").fetchall())
+
+
+def test_documents_that_keep_all_lines_pass_by(spark, tmp_path, monkeypatch):
+    """The bitmaps of many documents are joined, by way of the filter, as the broadcast ones are."""
+    from quillstack.llm import _spark
+
+    monkeypatch.setattr(_spark, "ATTACH_ROWS", 0)
+    monkeypatch.setattr(_spark, "MARKS", 2)
+    assert run(spark, tmp_path, ROWS + [(100 + i, f"own text of {i}") for i in range(200)]) == brute(ROWS + [(100 + i, f"own text of {i}") for i in range(200)])
+
+
+def test_keepers_stream_over_a_ranged_sort(spark):
+    docs = spark.createDataFrame([(i, 1, i % 7, 0) for i in range(50)], "h1 long, h2 long, doc_id long, pos int")
+    found = m.keepers(docs, 5)
+    assert [tuple(r) for r in found.collect()] == []
+    found = m.keepers(docs.withColumn("h1", docs.h1 % 2), 5)
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 1, 6), (1, 1, 6)]
+    plan = found._jdf.queryExecution().toString()
+    assert "rangepartitioning(h1" in plan and "row_number() windowspecdefinition(h1" in plan and "Sort [h1" in plan
+
+
+def test_columns_of_the_operators_own_names(spark):
+    docs = spark.createDataFrame([(i, LONG, 9, "x") for i in range(6)], "doc_id long, text string, n_lines int, __keeps string")
+    out = m.dedup_lines(docs).collect()
+    assert sorted((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in out) == [(i, "" if i < 5 else LONG, 1, int(i < 5)) for i in range(6)]
