@@ -32,8 +32,8 @@ def release(spark: SparkSession) -> None:
 
 
 #: ``attach`` broadcasts up to so many rows and bytes; its filter has MARKS bitmaps of 4 KB.
-ATTACH_ROWS = 200_000
-ATTACH_BYTES = 32 << 20
+ATTACH_ROWS = 100_000
+ATTACH_BYTES = 16 << 20
 MARKS = 2048
 
 
