@@ -80,3 +80,23 @@ def test_sql_agrees(spark, data, duck):
     got = m.op2_mixing(spark, data)
     columns = sorted(got.columns)
     assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, duck.sql(m.SQL).project(", ".join(columns)).fetchall()))
+
+
+def test_small_and_capped_sources_meet_their_targets(spark, monkeypatch):
+    """Sources below a block take their target to the word, capped ones all that their documents hold, whatever the shards."""
+    monkeypatch.setattr(m, "SHARD", 3)
+    docs = [(i, "w " * (7 + i % 5), "a") for i in range(3)] + [(100 + i, "w " * (i % 50), "b") for i in range(90)] + [(300 + i, "w " * 900, "c") for i in range(60)] + [(500, "w " * 40, None)]
+    rows = m.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    sizes, taken, want = check(rows)
+    assert all(abs(taken[s] - want[s]) <= (0.5 if want[s] < m.BLOCK * (m.FEW - 1) else m.BLOCK / 2 + 0.5) for s in want), (taken, want)
+    assert want["b"] == 3 * sizes["b"] == pytest.approx(taken["b"], abs=m.BLOCK)
+
+
+def test_blocks_are_drawn_by_seed(spark):
+    """What a shard takes in its last pass lies in blocks all over the run, not at its beginning, and changes with the seed."""
+    docs = [(i, "w " * 64, "ab"[i % 10 == 0]) for i in range(2000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    one, two = ({r["doc_id"]: r["taken"] for r in m.mix(frame, (3, 2), seed=s).collect() if r["source"] == "a"} for s in (1, 2))
+    assert sum(one.values()) == sum(two.values()) and one != two
+    assert {v for v in one.values()} <= {0, 64} | {v for v in one.values() if 0 < v < 64} and sum(0 < v < 64 for v in one.values()) <= 2
+    assert 0 < sum(v > 0 for v in one.values()) < 1800
