@@ -2,15 +2,16 @@
 
 A line's quote level is the number of ``>`` marks it begins with.  Runs of lines
 of one level are passages.  Passages and their lines are normalised (A-Z
-lower-cased, white space runs to one space), hashed and joined, inside a
-conversation, to earlier messages whose own text, paragraphs or lines have the
-same hash.  A message replies to the original of its shallowest linked passage;
+lower-cased, white space runs to one space), hashed and linked, inside a
+conversation, to the latest earlier message whose own text, paragraphs or lines
+have the same hash.  A message replies to the original of its shallowest linked passage;
 among several originals whole passages beat lines, then the latest turn wins.
 Threads follow replies up to a message that replies to none, by pointer
 doubling, each round cut by checkpoint().
 
-Rows are never gathered by conversation: joins run on (conversation, hash) and
-(conversation, turn), so a hot conversation spreads out.  Reply order is
+Rows are never gathered by conversation: work runs by (conversation, hash, run of
+turns) and (conversation, turn), so a hot conversation spreads out, and so does a
+line that many of its messages hold and quote; no pairs of them are made.  Reply order is
 (conv_id, thread, turn): a reply comes after what it answers, threads in order
 of their first message.
 
@@ -30,6 +31,8 @@ from ._spark import cut, let, lower_az, table
 
 _MARK = r"^[ \t]*(>[> \t]*)"
 _INTRO = r"wrote:[ \t]*$"
+#: Turns of a conversation that are sorted together.
+SPAN = 1024
 
 
 def _lines(text: Column) -> Column:
@@ -82,11 +85,29 @@ def passages(messages: DataFrame) -> DataFrame:
     return units.select("conv_id", "turn", "row", "run", "level", "whole", *_hashes(F.col("line")))
 
 
+def latest(quotes: DataFrame, known: DataFrame) -> DataFrame:
+    """(conv_id, h1, h2, turn, origin) of the ``quotes`` (conv_id, h1, h2, turn) that an earlier turn of ``known`` (conv_id, origin, h1, h2) has: the last one before.
+
+    Quotes and originals are sorted as one and the last original is carried
+    along, so no quote meets all originals.  A hash's turns are cut into runs of
+    ``SPAN``; what a run's beginning needs comes from one row per run before it.
+    """
+    key = ["conv_id", "h1", "h2"]
+    asked = quotes.distinct().withColumn("origin", F.lit(None).cast(known.schema["origin"].dataType))
+    both = asked.unionByName(known.withColumn("turn", F.col("origin"))).withColumn("part", F.floor(F.col("turn") / SPAN))
+    before = Window.partitionBy(*key, "part").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    near = both.withColumn("near", F.last("origin", ignorenulls=True).over(before)).filter("origin IS NULL").drop("origin")
+    runs = both.groupBy(*key, "part").agg(F.max("origin").alias("top"), F.bool_or(F.col("origin").isNull()).alias("asked"))
+    earlier = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    far = runs.withColumn("far", F.max("top").over(earlier)).filter("asked AND far IS NOT NULL").select(*key, "part", "far")
+    return near.join(far, [*key, "part"], "left").withColumn("origin", F.coalesce("near", "far")).filter("origin IS NOT NULL").select(*key, "turn", "origin")
+
+
 def replies(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_to, n_quotes, n_linked) of the messages with quotations."""
     units = cut(passages(messages))
-    found = units.join(originals(messages), ["conv_id", "h1", "h2"]).filter("origin < turn")
-    best = found.groupBy("conv_id", "turn", "row", "run", "level").agg(F.max(F.struct("whole", "origin")).alias("best"))
+    origin = latest(units.select("conv_id", "h1", "h2", "turn"), originals(messages))
+    best = units.join(origin, ["conv_id", "h1", "h2", "turn"]).groupBy("conv_id", "turn", "row", "run", "level").agg(F.max(F.struct("whole", "origin")).alias("best"))
     linked = best.groupBy("conv_id", "turn").agg(F.min(F.struct("level", (~F.col("best.whole")).alias("part"), (-F.col("best.origin")).alias("back"))).alias("top"), F.count("*").alias("n_linked"))
     quotes = units.filter("whole").groupBy("conv_id", "turn").agg(F.count("*").alias("n_quotes"))
     return quotes.join(linked, ["conv_id", "turn"], "left").select("conv_id", "turn", (-F.col("top.back")).alias("reply_to"), "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
