@@ -13,7 +13,8 @@ rule-decided URLs whose host hash is 0 mod ``HOLD`` and which the models have
 not seen: the histogram cell border with the least balanced error.
 
 All of it is DataFrame work: counts are one aggregation over exploded
-characters, scoring is one map over the URLs without a shuffle.
+characters; to score, the characters meet the counts in broadcast tables of at
+most ``BUCKETS`` rows and are added up by URL before anything is exchanged.
 
 Defined cases: a null URL or one without ``://`` has empty host and path and no
 rule.  If no rule accepts or none rejects a URL, undecided URLs are allowed.
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import array_literal, let, lower_az, table
+from ._spark import cut, lower_az, table
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 ORDER = 4
@@ -59,55 +60,51 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _codes(host: Column, path: Column) -> Column:
-    return F.transform(F.split(F.concat(host, path, F.lit("$")), ""), lambda c: F.ascii(c))
+    return F.transform(F.split(F.concat(host, path, F.lit("$")), ""), F.ascii)
 
 
-def _bucket(codes, i: Column, n: int) -> Column:
+def _bucket(codes: str, i: Column, n: int) -> Column:
     """Bucket of the ``n`` characters that end at place ``i``; places before the start add nothing."""
     return F.pmod(F.xxhash64(F.lit(n), *[F.get(codes, i - k) for k in range(n)]), F.lit(BUCKETS)).cast("int")
 
 
-def _model(known: DataFrame) -> dict[str, Column]:
-    """Count arrays by class (a: accepted, b: rejected), order and bucket, and the totals a0, b0."""
-    place = known.select("codes", "accepted", F.explode(F.sequence(F.lit(0), F.size("codes") - 1)).alias("i"))
-    grams = place.select("accepted", F.posexplode(F.array(*[_bucket("codes", F.col("i"), n) for n in range(1, ORDER + 1)])).alias("n", "bucket"))
-    counts = grams.groupBy("n", "bucket").agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("b"))
-    model = {f"{k}{n}": [0] * BUCKETS for n in range(1, ORDER + 1) for k in "ab"}
-    for n, bucket, a, b in counts.collect():  # ORDER * BUCKETS rows at most
-        model[f"a{n + 1}"][bucket], model[f"b{n + 1}"][bucket] = a, b
-    arrays = {name: array_literal(values, "double") for name, values in model.items()}
-    return arrays | {f"{k}0": F.lit(float(sum(model[f"{k}1"]))) for k in "ab"}
-
-
-def _score(codes: Column, model: dict[str, Column]) -> Column:
-    """log P(accepted) - log P(rejected), divided by the number of characters."""
-    names = [f"{k}{n}" for n in range(1, ORDER + 1) for k in "ab"]
-
-    def ratio(m, cells, i):
-        """Log ratio of the character at place ``i``, whose buckets by order are ``cells``; ``before`` those of its context."""
-        now, before = cells
-        p = {}
-        for k in "ab":
-            p[k] = F.lit(1.0 / ALPHABET)
-            for n in range(1, ORDER + 1):
-                seen = F.get(m[f"{k}{n}"], F.get(now, F.lit(n - 1)))
-                context = model[f"{k}0"] if n == 1 else F.get(m[f"{k}{n - 1}"], F.get(before, F.lit(n - 2)))
-                if n > 1:
-                    seen, context = F.when(i >= n - 1, seen).otherwise(0.0), F.when(i >= n - 1, context).otherwise(0.0)
-                p[k] = (seen + F.lit(A) * p[k]) / (F.greatest(context, seen) + F.lit(A))
-        return F.log(p["a"]) - F.log(p["b"])
-
-    def total(m, seq):
-        cells = F.transform(seq, lambda _, i: F.array(*[_bucket(seq, i, n) for n in range(1, ORDER + 1)]))
-        each = lambda c: F.aggregate(F.transform(c, lambda now, i: ratio(m, (now, F.get(c, i - 1)), i)), F.lit(0.0), lambda s, x: s + x)
-        return let(cells, each) / F.size(seq)
-
-    def bind(left: list[str], m: dict):
-        if not left:
-            return let(codes, lambda seq: total(m, seq))
-        return let(model[left[0]], lambda v: bind(left[1:], m | {left[0]: v}))
-
-    return bind(names, {})
+def _places(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of ``rows`` once for each place ``i`` of their ``codes``: with the buckets of its grams, g1 to gORDER, and of their contexts, from h1."""
+    of = lambda i: [i.alias("i"), *[_bucket("codes", i, n).alias(f"g{n}") for n in range(1, ORDER + 1)], *[_bucket("codes", i - 1, n).alias(f"h{n}") for n in range(1, ORDER)]]
+    return rows.select(*columns, F.inline(F.transform("codes", lambda _, i: F.struct(*of(i)))))
+
+
+def _model(known: DataFrame) -> DataFrame:
+    """(n, bucket, a, b): counts of the accepted and the rejected URLs' grams by order and bucket, ORDER * BUCKETS rows at most."""
+    grams = _places(known, ["accepted"]).select("accepted", F.posexplode(F.array(*[f"g{n}" for n in range(1, ORDER + 1)])).alias("n", "bucket"))
+    return cut(grams.groupBy((F.col("n") + 1).alias("n"), "bucket").agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("b")))
+
+
+def _scored(rows: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and score of ``rows`` (keys, codes): log P(accepted) - log P(rejected), divided by the number of characters.
+
+    Every character meets the counts of its grams and their contexts in tables of
+    at most BUCKETS rows, which are broadcast; a URL's characters are added up in
+    the task that reads it.
+    """
+    total = model.filter("n = 1").agg(*[F.coalesce(F.sum(k), F.lit(0)).cast("double") for k in "ab"]).first()
+    i = F.col("i")
+    # rows are told apart by an id, for keys may repeat
+    out = _places(rows.withColumn("row", F.monotonically_increasing_id()), ["row", *keys])
+    for name, n in [(f"g{n}", n) for n in range(1, ORDER + 1)] + [(f"h{n}", n) for n in range(1, ORDER)]:
+        held = model.filter(F.col("n") == n).select(F.col("bucket").alias(name), F.col("a").alias(f"{name}a"), F.col("b").alias(f"{name}b"))
+        out = out.join(F.broadcast(held), name, "left")  # BUCKETS rows of 20 bytes at most
+    logs = {}
+    for k, whole in zip("ab", total):
+        p = F.lit(1.0 / ALPHABET)
+        for n in range(1, ORDER + 1):
+            seen = F.coalesce(F.col(f"g{n}{k}"), F.lit(0)).cast("double")
+            before = F.lit(whole) if n == 1 else F.coalesce(F.col(f"h{n - 1}{k}"), F.lit(0)).cast("double")
+            if n > 1:
+                seen, before = F.when(i >= n - 1, seen).otherwise(0.0), F.when(i >= n - 1, before).otherwise(0.0)
+            p = (seen + F.lit(A) * p) / (F.greatest(before, seen) + F.lit(A))
+        logs[k] = F.log(p)
+    return out.groupBy("row", *keys).agg((F.sum(logs["a"] - logs["b"]) / F.count("*")).alias("score")).drop("row")
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -116,14 +113,17 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = split.select("page_id", "host", "path", name.alias("rule"), verdict.alias("ruled"))
-    known = ruled.filter("ruled IS NOT NULL").select(_codes(F.col("host"), F.col("path")).alias("codes"), (F.col("ruled") == "allow").alias("accepted"), (F.pmod(F.xxhash64("host"), F.lit(HOLD)) == 0).alias("held"))
+    codes = _codes(F.col("host"), F.col("path")).alias("codes")
+    known = ruled.filter("ruled IS NOT NULL").select(codes, (F.col("ruled") == "allow").alias("accepted"), (F.pmod(F.xxhash64("host"), F.lit(HOLD)) == 0).alias("held"))
     model = _model(known.filter("NOT held"))
-    cell = F.floor(_score(F.col("codes"), model) * CELL)
-    cells = known.filter("held").groupBy(F.least(F.greatest(cell, F.lit(-SPAN)), F.lit(SPAN)).alias("cell")).agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("b")).collect()  # 2 * SPAN + 1 rows at most
+    cell = F.least(F.greatest(F.floor(F.col("score") * CELL), F.lit(-SPAN)), F.lit(SPAN))
+    scores = _scored(known.filter("held").select("accepted", "codes"), model, ["accepted"])
+    cells = scores.groupBy(cell.alias("cell")).agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("b")).collect()  # 2 * SPAN + 1 rows at most
     border = threshold([(r["cell"], r["a"], r["b"]) for r in cells])
-    scored = ruled.withColumn("score", F.when(F.col("ruled").isNull(), _score(_codes(F.col("host"), F.col("path")), model)))
+    free = _scored(ruled.filter("ruled IS NULL").select("page_id", "host", "path", codes), model, ["page_id", "host", "path"])
     method = F.when(F.col("score") < border, "block").otherwise("allow")
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "score")
+    decided = ruled.filter("ruled IS NOT NULL").select("page_id", "host", "path", "rule", F.col("ruled").alias("verdict"), F.lit(None).cast("double").alias("score"))
+    return decided.unionByName(free.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), method.alias("verdict"), "score"))
 
 
 def threshold(cells: list[tuple[int, int, int]]) -> float:
