@@ -12,7 +12,9 @@ negated, reported; for insults and threats).  A clause's score is the sum of
 its patterns' arc weights times the weight of the matched term, so no word is
 scored by itself.  Arc weights start from fixed prior values and are fitted,
 with the prior as centre, on labelled rows.  Terms are a short fixed seed list
-plus words and word beginnings that the labelled rows show to be toxic.
+plus words and word beginnings that the labelled rows show to be toxic.  A learnt
+term is a threat if in toxic rows its object, a person word right after it,
+follows it at least as often as not, like a verb's; else it is an insult.
 
 The fit uses at most ``MAX_LABELLED`` labelled rows (lowest id hash first);
 scoring covers every text, whole.  Model size is bounded by ``MAX_TERMS``.
@@ -111,16 +113,17 @@ class Grammar:
 
     whole: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    threats: frozenset[tuple[str, bool]] = frozenset()  # learnt ones: term, and whether it is a word's beginning
     arcs: np.ndarray = field(default_factory=lambda: PRIOR.copy())
     base: float = PRIOR_BASE
 
     def symbol(self, word: str) -> tuple[int, float]:
-        weight = self.whole.get(word, 0.0)
+        weight, term = self.whole.get(word, 0.0), (word, False)
         for n in STEMS:
             if len(word) > n and (w := self.stems.get(word[:n], 0.0)) > weight:
-                weight = w
+                weight, term = w, (word[:n], True)
         if weight:
-            return 0, weight
+            return int(term in self.threats), weight
         fixed = _FIXED.get(word, 5)
         return fixed, 1.0 if fixed < 2 else 0.0
 
@@ -203,6 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, max_labelled: int = MAX_LABEL
     )
     weigh = lambda t: min(2.0, t["odds"] / 4)
     grammar = Grammar({t["term"]: weigh(t) for t in terms if not t["stem"]}, {t["term"]: weigh(t) for t in terms if t["stem"]})
+    grammar.threats = _threats(rows.filter("toxic = 1"), grammar)
     for word in INSULTS:
         grammar.whole.setdefault(word, 1.0)
 
@@ -222,6 +226,22 @@ def fit(docs: DataFrame, labels: DataFrame, train, max_labelled: int = MAX_LABEL
     return grammar
 
 
+def _threats(toxic: DataFrame, grammar: Grammar) -> frozenset[tuple[str, bool]]:
+    """The terms of ``grammar`` that take a person word as their object in the texts of ``toxic``."""
+    terms = [(t, len(t), False) for t in grammar.whole] + [(t, len(t), True) for t in grammar.stems]
+    if not terms:
+        return frozenset()
+    held = toxic.sparkSession.createDataFrame(terms, "term string, size int, stem boolean")  # MAX_TERMS rows at most
+    word = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+(?:'\p{L}+)?)"), F.lit(1))
+    after = toxic.select(word.alias("w")).select(F.inline(F.transform("w", lambda x, i: F.struct(x.alias("word"), F.coalesce(F.get("w", i + 1).isin(*TARGETS), F.lit(False)).alias("aimed")))))
+    counted = after.groupBy("word").agg(F.count("*").alias("n"), F.count_if("aimed").alias("aimed"))
+    is_term = ((F.col("word") == F.col("term")) & ~F.col("stem")) | ((F.left("word", F.col("size")) == F.col("term")) & F.col("stem") & (F.length("word") > F.col("size")))
+    sizes = sorted({n for _, n, _ in terms})
+    cut_at = counted.select("*", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("size")).withColumn("term", F.left("word", F.col("size"))).filter(F.length("word") >= F.col("size"))
+    found = cut_at.join(F.broadcast(held), ["term", "size"]).filter(is_term).groupBy("term", "stem").agg(F.sum("n").alias("n"), F.sum("aimed").alias("aimed"))
+    return frozenset((r["term"], r["stem"]) for r in found.filter("2 * aimed >= n").collect())
+
+
 def score(docs: DataFrame, grammar: Grammar, to: str = "toxicity") -> DataFrame:
     """``docs`` with the score of its text in column ``to``; one map over the rows, no shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(grammar)  # MAX_TERMS bounds it
