@@ -46,3 +46,32 @@ def truncate(text: Column, most_bytes: int) -> Column:
     steps = [1 << k for k in range(most_bytes.bit_length(), -1, -1)]
     fits = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda n, s: F.when(size(n + s) <= most_bytes, n + s).otherwise(n))
     return F.when(F.octet_length(text) <= most_bytes, text).when(F.octet_length(head) <= most_bytes, head).otherwise(F.substring(text, F.lit(1), fits))
+
+
+def listed(text: Column, most: int | None = None) -> Column:
+    """Parts of a comma list, trimmed, without empty ones, ``most`` at most; none of null."""
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.btrim(x)), lambda x: x != "")
+    return parts if most is None else F.slice(parts, 1, most)
+
+
+def ordered(frame: DataFrame, column: str, most: int = 0) -> DataFrame:
+    """Distinct values in order, all of them for 0."""
+    out = frame.select(column).distinct().orderBy(column)
+    return out.limit(most) if most else out
+
+
+def index_query(base: str, pattern: Column, fields: list[str] = (), match: str | None = None, collapse: str | None = None, filters: list[str] = (), since: str | None = None, until: str | None = None, limit: int | None = None) -> Column:
+    """URL of a capture index query; wildcards of the pattern stay, a limit of 0 is left out."""
+    quoted = F.replace(F.replace(F.replace(F.url_encode(pattern), F.lit("+"), F.lit("%20")), F.lit("%2A"), F.lit("*")), F.lit("%7E"), F.lit("~"))
+    rest = [("fl", ",".join(fields) or None), ("matchType", match), ("collapse", collapse), *(("filter", f) for f in filters), ("from", since), ("to", until), ("limit", str(limit) if limit else None)]
+    return F.concat(F.lit(f"{base}?url="), quoted, F.lit("&output=json" + "".join(f"&{k}={v}" for k, v in rest if v)))
+
+
+def site_queries(domains: DataFrame, terms: list[str]) -> DataFrame:
+    """(domain, query) of each domain and term."""
+    return domains.select("domain", F.explode(F.array(*[F.lit(t) for t in terms])).alias("term")).select("domain", F.concat(F.lit("site:"), "domain", F.lit(" "), "term").alias("query"))
+
+
+def scored(frame: DataFrame, method: str, confidence: float) -> DataFrame:
+    """Found URLs (url) with the method that found them, each once."""
+    return frame.select("url").distinct().select("url", F.lit(method).alias("method"), F.lit(confidence).alias("confidence"))

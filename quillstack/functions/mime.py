@@ -132,3 +132,28 @@ def format_size(size: Column) -> Column:
         F.when(size >= 10**9, unit(10**9, "GB")).when(size >= 10**6, unit(10**6, "MB")).when(size >= 10**3, unit(10**3, "KB"))
         .otherwise(F.concat(size.cast("string"), F.lit(" B")))
     )
+
+
+# Types that count as documents, and suffixes of document types.
+DOCUMENT_TYPES = (
+    "application/pdf", "application/msword", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/vnd.ms-excel",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "application/vnd.ms-powerpoint",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation", "text/html", "application/xhtml+xml",
+)
+BY_SUFFIX = {
+    "pdf": "pdf", "doc": "word", "docx": "word", "xls": "excel", "xlsx": "excel", "ppt": "powerpoint", "pptx": "powerpoint", "txt": "text",
+    "html": "html", "htm": "html", "jpg": "image", "jpeg": "image", "png": "image", "gif": "image", "tiff": "image", "tif": "image",
+}
+
+
+def is_document(mime: Column) -> Column:
+    return mime.isin(*DOCUMENT_TYPES)
+
+
+def is_extractable(mime: Column) -> Column:
+    return mime.isin(*EXTRACTABLE)
+
+
+def document_kind(path: Column) -> Column:
+    """Kind of document that the suffix of a path tells, null if none."""
+    return F.when(F.contains(path, F.lit(".")), lookup(extension(path), BY_SUFFIX, None))

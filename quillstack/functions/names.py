@@ -56,3 +56,35 @@ def percent(text: Column) -> Column:
 
 def file_url(path: Column, filename: Column) -> Column:
     return F.concat(F.lit("/files/"), path, F.when(filename.isNotNull(), F.concat(F.lit("?filename="), percent(filename))).otherwise(""))
+
+
+def resolved(folder: str, stored: Column, computed: Column) -> Column:
+    """Full path of a stored file: of an absolute path the last two parts, a relative one as it is, else the computed one, below ``folder``."""
+    parts = F.filter(F.split(stored, "/"), lambda x: x != "")
+    last = F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), F.lit(2)), "/")
+    return F.concat(F.lit(folder.rstrip("/") + "/"), F.when(F.startswith(stored, F.lit("/")), last).otherwise(F.coalesce(stored, computed)))
+
+
+# Extension of a type in a content path.
+CONTENT_EXTENSION = {
+    "application/pdf": "pdf", "text/html": "html", "text/plain": "txt", "application/json": "json", "application/xml": "xml", "text/xml": "xml",
+    "image/jpeg": "jpg", "image/png": "png", "image/gif": "gif", "application/msword": "doc",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx", "application/vnd.ms-excel": "xls",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx", "application/zip": "zip", "application/gzip": "gz",
+}
+
+
+def content_extension(kind: Column) -> Column:
+    return mime.lookup(kind, CONTENT_EXTENSION, "bin")
+
+
+def content_path(folder: str, digest: Column, extension: Column, name: Column | None = None) -> Column:
+    """``folder/ab/name-abcdef12.ext``, without a name ``folder/ab/<digest>.ext``; a digest under 8 characters is an error."""
+    good = F.when(F.length(digest) >= 8, digest).otherwise(F.raise_error(F.lit("content hash too short")).cast("string"))
+    file = good if name is None else F.concat(sanitize(name), F.lit("-"), F.substring(good, 1, 8))
+    return F.concat(F.lit(folder.rstrip("/") + "/"), F.substring(good, 1, 2), F.lit("/"), file, F.lit("."), extension)
+
+
+def identifier(name: Column) -> Column:
+    """Whether a name is safe inside a JSON path: ASCII letters, digits and ``_`` only, one at least."""
+    return name.rlike("^[A-Za-z0-9_]+$")

@@ -122,3 +122,39 @@ def parents(url: Column) -> Column:
 def redact(url: Column) -> Column:
     """Password of a connection URL as ``***``."""
     return F.regexp_replace(url, r"(://[^:/@]+):[^@/]*@", "$1:***@")
+
+
+def domain(target: Column) -> Column:
+    """Host of a URL; a bare target as it is."""
+    return F.coalesce(F.nullif(host(target), F.lit("")), target)
+
+
+def base(target: Column) -> Column:
+    """Target with ``https://`` if it has no scheme, without a slash at the end."""
+    return F.rtrim(F.when(target.rlike("^https?://"), target).otherwise(F.concat(F.lit("https://"), target)), F.lit("/"))
+
+
+def allowed(url: Column, start: Column) -> Column:
+    """The URL's site is that of ``start``."""
+    return root_domain(host(url)) == root_domain(host(start))
+
+
+def rewritten(url: Column, mapping: list[tuple[str, str]]) -> Column:
+    """struct(url, rewritten) after the first mapping whose prefix fits."""
+    fits = reduce(or_, [url.startswith(p) for p, _ in mapping], F.lit(False))
+    return F.struct(rewrite(url, mapping).alias("url"), fits.alias("rewritten"))
+
+
+def as_listing(confidence: Column) -> Column:
+    """Confidence of a URL that is known as a listing page."""
+    return F.least(F.lit(1.0), confidence + 0.2)
+
+
+def clamped(confidence: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))
+
+
+def typed(found_urls: Column) -> Column:
+    """(url, kind) of the URLs whose path tells a document."""
+    each = F.transform(found_urls, lambda u: F.struct(u.alias("url"), mime.document_kind(mime.strip_url(u)).alias("kind")))
+    return F.filter(each, lambda x: x["kind"].isNotNull())

@@ -103,6 +103,22 @@ def search_pages(pages: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return hits.join(docs.select(F.col("id").alias("document_id"), "title", "source_id"), "document_id").select("document_id", "page_number", "title", "source_id", "text")
 
 
+def count_page_matches(pages: DataFrame, text: str) -> DataFrame:
+    """Number of pages whose best text holds ``text``."""
+    return pages.filter(F.contains(F.coalesce("final_text", "ocr_text", "pdf_text", F.lit("")), F.lit(text))).agg(F.count("*").alias("n"))
+
+
+def listed(docs: DataFrame, versions: DataFrame, tag: str | None = None, kind: str | None = None, source: str | None = None, limit: int = 20) -> DataFrame:
+    """Newest documents by the first given of tag, type group and source."""
+    if tag is not None:
+        docs = by_tag(docs, tag)
+    elif kind is not None:
+        return by_category(docs, versions, kind, limit)
+    elif source is not None:
+        docs = docs.filter(F.col("source_id") == source)
+    return docs.orderBy(F.desc("updated"), "id").limit(limit)
+
+
 def info(docs: DataFrame, key: str) -> DataFrame:
     """The document with the id; else those with the id prefix or, in any case, the title part."""
     exact = docs.filter(F.col("id") == key)

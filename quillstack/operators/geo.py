@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0088
+#: Points of a region that are sent to all tasks at most.
+MOST_POINTS = 2_000_000
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -43,11 +45,20 @@ def in_ring(lat: Column, lon: Column, ring: Column) -> Column:
 def in_region(entities: DataFrame, regions: DataFrame, name: str) -> DataFrame:
     """Documents with an entity inside the region: in an odd number of its rings, so holes count out."""
     shape = regions.filter(F.lower("name") == name.lower()).select(F.col("rings").alias("__rings"))
-    points = entities.filter("latitude IS NOT NULL").join(F.broadcast(shape.limit(1)))  # one region
+    points = entities.filter("latitude IS NOT NULL").join(F.broadcast(_one(shape)))  # one row of a checked size
     inside = F.aggregate("__rings", F.lit(False), lambda s, r: s != in_ring(F.col("latitude"), F.col("longitude"), r))
     return points.filter(inside).select("document_id").distinct()
 
 
+def _one(shapes: DataFrame) -> DataFrame:
+    """One row with the rings of all ``shapes``: regions of one name and several types count together."""
+    out = shapes.agg(F.flatten(F.collect_list("__rings")).alias("__rings")).filter(F.size("__rings") > 0)
+    points = out.agg(F.coalesce(F.sum(F.aggregate("__rings", F.lit(0), lambda s, r: s + F.size(r))), F.lit(0))).first()[0]
+    if points > MOST_POINTS:
+        raise ValueError(f"a region of {points} points; simplify it to {MOST_POINTS}")
+    return out
+
+
 def segment_km(lat: Column, lon: Column, a: Column, b: Column) -> Column:
     """Distance to the segment a-b of [lon, lat] points, in a plane around the point."""
     scale = F.cos(F.radians(lat)) * 111.32
@@ -62,7 +73,7 @@ def segment_km(lat: Column, lon: Column, a: Column, b: Column) -> Column:
 def near_region(entities: DataFrame, regions: DataFrame, name: str, km: float) -> DataFrame:
     """Documents with an entity inside the region or within ``km`` of its border."""
     shape = regions.filter(F.lower("name") == name.lower()).select(F.col("rings").alias("__rings"))
-    points = entities.filter("latitude IS NOT NULL").join(F.broadcast(shape.limit(1)))  # one region
+    points = entities.filter("latitude IS NOT NULL").join(F.broadcast(_one(shape)))  # one row of a checked size
     lat, lon = F.col("latitude"), F.col("longitude")
     inside = F.aggregate("__rings", F.lit(False), lambda s, r: s != in_ring(lat, lon, r))
     close = F.exists("__rings", lambda r: F.exists(F.sequence(F.lit(0), F.size(r) - 2), lambda i: segment_km(lat, lon, F.get(r, i), F.get(r, i + 1)) <= km))
@@ -117,10 +128,26 @@ def cities(table: DataFrame) -> DataFrame:
 
 
 def regions(geojson: DataFrame) -> DataFrame:
-    """(name, type, iso, rings) of GeoJSON feature collections in column ``value``; the last of a name and type wins."""
+    """(name, type, iso, rings) of GeoJSON feature collections in column ``value``; the last of a name and type wins, by ``file`` (if there is one) and place in it."""
     schema = "struct<features:array<struct<properties:struct<name:string,type:string,iso:string>,geometry:struct<type:string,coordinates:string>>>>"
-    feature = geojson.select(F.explode(F.from_json("value", schema)["features"]).alias("f"))
+    file = F.col("file") if "file" in geojson.columns else F.lit("")
+    feature = geojson.select(file.alias("file"), F.posexplode(F.from_json("value", schema)["features"]).alias("pos", "f"))
     ring = "array<array<array<double>>>"
     shape = F.when(F.col("f.geometry.type") == "MultiPolygon", F.flatten(F.from_json("f.geometry.coordinates", f"array<{ring}>"))).otherwise(F.from_json("f.geometry.coordinates", ring))
-    rows = feature.select("f.properties.name", "f.properties.type", "f.properties.iso", shape.alias("rings"))
-    return rows.dropDuplicates(["name", "type"])
+    rows = feature.select("f.properties.name", "f.properties.type", "f.properties.iso", shape.alias("rings"), "file", "pos")
+    last = rows.groupBy("name", "type").agg(F.max_by(F.struct("iso", "rings"), F.struct("file", "pos")).alias("r"))
+    return last.select("name", "type", "r.iso", "r.rings")
+
+
+def located(entities: DataFrame, notable: DataFrame, towns: DataFrame) -> DataFrame:
+    """``entities`` (normalized_text) with coordinates: those of the notable place of that name, else of the most populous town."""
+    first = notable.groupBy(F.lower("name").alias("normalized_text")).agg(F.min(F.struct("latitude", "longitude")).alias("__a"))
+    then = cities(towns).select(F.col("name").alias("normalized_text"), F.struct("latitude", "longitude").alias("__b"))
+    at = F.coalesce("__a", "__b")
+    joined = entities.drop("latitude", "longitude").join(first, "normalized_text", "left").join(then, "normalized_text", "left")
+    return joined.withColumn("latitude", at["latitude"]).withColumn("longitude", at["longitude"]).drop("__a", "__b")
+
+
+def kinds(entities: DataFrame) -> DataFrame:
+    """Number of entities by kind, named without underscores."""
+    return entities.groupBy(F.replace("entity_type", F.lit("_"), F.lit("")).alias("kind")).agg(F.count("*").alias("n"))

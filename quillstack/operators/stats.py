@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import mime
 
 
-def latest(versions: DataFrame) -> DataFrame:
-    """Newest version of each document, by one aggregation and no window."""
-    fields = [c for c in versions.columns if c != "document_id"]
+def latest(versions: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` (all without any) of the newest version of each document, by one aggregation and no window."""
+    fields = columns or [c for c in versions.columns if c != "document_id"]
     return versions.groupBy("document_id").agg(F.max_by(F.struct(*fields), F.col("id")).alias("v")).select("document_id", "v.*")
 
 
@@ -25,7 +25,7 @@ def nested(frame: DataFrame, outer: str, inner: str) -> DataFrame:
 
 def types(versions: DataFrame) -> DataFrame:
     kind = F.coalesce("mime_type", F.lit("unknown")).alias("mime_type")
-    return latest(versions).groupBy(kind).agg(F.count("*").alias("n"))
+    return latest(versions, "mime_type").groupBy(kind).agg(F.count("*").alias("n"))
 
 
 def categories(versions: DataFrame) -> DataFrame:
@@ -91,3 +91,31 @@ def page_text(pages: DataFrame, best: Column, separator: str = "\n\n") -> DataFr
     kept = pages.select("document_id", "page_number", best.alias("text")).filter("text IS NOT NULL")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda p: p["text"]), separator)
     return kept.groupBy("document_id").agg(F.nullif(joined, F.lit("")).alias("text"))
+
+
+def timeline_envelope(buckets: DataFrame) -> DataFrame:
+    """One row: the total and the buckets (day, n, epoch) by day."""
+    return buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.array_sort(F.collect_list(F.struct("day", "n", "epoch"))).alias("buckets"))
+
+
+def system(docs: DataFrame, versions: DataFrame, urls: DataFrame, source: str | None = None) -> DataFrame:
+    """(section, key, n): documents by status, crawl URLs by status, types of newest versions; the types stay those of all sources."""
+    own = lambda f: f if source is None else f.filter(F.col("source_id") == source)
+    part = lambda section, f, key: f.select(F.lit(section).alias("section"), F.col(key).alias("key"), "n")
+    parts = part("documents", by(own(docs), "status"), "status").unionByName(part("crawl", by(own(urls), "status"), "status"))
+    return parts.unionByName(part("types", types(versions), "mime_type"))
+
+
+def scrapers(sources: DataFrame, docs: DataFrame, urls: DataFrame) -> DataFrame:
+    """Configured ``sources`` (source_id) with document counts and crawl state, 0 where there is none."""
+    none = F.lit(0).cast("long")
+    state = crawl_state(urls).select("source_id", "fetched", "pending", "failed")
+    joined = sources.join(by(docs, "source_id", name="documents"), "source_id", "left").join(state, "source_id", "left")
+    return joined.select("source_id", *[F.coalesce(c, none).alias(c) for c in ("documents", "fetched", "pending", "failed")])
+
+
+def remap(docs: DataFrame, versions: DataFrame) -> DataFrame:
+    """(old, new, n): categories that a document has and that its newest version's type has, where they differ."""
+    now = latest(versions, "mime_type").select(F.col("document_id").alias("id"), mime.category(F.col("mime_type")).alias("new"))
+    both = docs.select("id", F.col("category_id").alias("old")).join(now, "id")
+    return both.filter(~F.col("old").eqNullSafe(F.col("new"))).groupBy("old", "new").agg(F.count("*").alias("n"))

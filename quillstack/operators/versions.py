@@ -11,7 +11,7 @@ from .stats import latest
 
 def cross_source(versions: DataFrame, docs: DataFrame) -> DataFrame:
     """Newest hashes that several sources hold."""
-    held = latest(versions).select("document_id", "content_hash").join(docs.select(F.col("id").alias("document_id"), "source_id"), "document_id")
+    held = latest(versions, "content_hash").join(docs.select(F.col("id").alias("document_id"), "source_id"), "document_id")
     return (
         held.groupBy("content_hash").agg(F.count("*").alias("n_docs"), F.countDistinct("source_id").alias("n_sources"), F.min("document_id").alias("first_id"))
         .filter("n_sources > 1").select(F.substring("content_hash", 1, 16).alias("prefix"), "n_docs", "n_sources", "first_id")
@@ -35,7 +35,7 @@ def keepers(docs: DataFrame, versions: DataFrame, strategy: str = "most_complete
     last id.  One aggregation finds it, so a large group needs no window.
     """
     score = {"oldest": -F.col("created"), "newest": F.col("created"), "most_complete": completeness(F.col("extracted_text"), F.col("synopsis"), F.col("tags")).cast("long")}[strategy]
-    held = latest(versions).select("document_id", "content_hash").join(docs.select(F.col("id").alias("document_id"), score.alias("score")), "document_id")
+    held = latest(versions, "content_hash").join(docs.select(F.col("id").alias("document_id"), score.alias("score")), "document_id")
     best = held.groupBy("content_hash").agg(F.max(F.struct("score", "document_id"))["document_id"].alias("keeper"), F.count("*").alias("n")).filter("n > 1")
     return held.join(best, "content_hash").select("document_id", "keeper")
 
@@ -68,6 +68,26 @@ def newest(frame: DataFrame, keep: int, key: str = "id") -> DataFrame:
     return frame.orderBy(F.desc(key)).limit(keep)
 
 
+def extreme(frame: DataFrame, last: bool = True) -> DataFrame:
+    """The last (or first) captured snapshot of each URL."""
+    fields = F.struct(*[c for c in frame.columns if c != "url"])
+    return frame.groupBy("url").agg((F.max_by if last else F.min_by)(fields, F.col("captured")).alias("s")).select("url", "s.*")
+
+
+def merged(services: dict[str, DataFrame]) -> DataFrame:
+    """Snapshots of several archive services as one table, with the service's name."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [f.withColumn("service", F.lit(n)) for n, f in services.items()])
+
+
+def existing_file(versions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (sha, blake, size) with the path of a stored file that agrees in all three, of several the least; null if there is none."""
+    keys = ["sha", "blake", "size"]
+    held = versions.select(F.col("content_hash").alias("sha"), F.col("content_hash_blake3").alias("blake"), F.col("file_size").alias("size"), F.col("file_path").alias("path"))
+    return wanted.join(held.groupBy(*keys).agg(F.min("path").alias("path")), keys, "left")
+
+
 def same_content(a: Column, b: Column) -> Column:
     """Equal only if both are known."""
     return F.coalesce(a == b, F.lit(False))

@@ -73,7 +73,14 @@ VIEWS = {
     CASE WHEN c_custkey % 4 = 2 THEN c_nationkey * 5.0 - 60.0 END AS latitude, CASE WHEN c_custkey % 4 = 2 THEN c_nationkey * 13.0 - 150.0 END AS longitude
   FROM customer JOIN nation ON c_nationkey = n_nationkey""",
 }
-NEEDS = {"v_versions": ["v_documents"], "v_analysis": ["v_documents", "v_versions"]}
+VIEWS["v_ocr"] = """
+  SELECT CAST(document_id AS BIGINT) * 100000 + page_number AS page_id, document_id, page_number, CASE WHEN page_number % 2 = 0 THEN 'second' ELSE 'first' END AS backend,
+    ocr_text AS text, sha256(pdf_text) AS image_hash FROM v_pages"""
+VIEWS["v_results"] = """
+  SELECT document_id, CAST(document_id AS BIGINT) * 100000 + page_number AS page_id, 'ocr' AS analysis_type, ocr_text AS result_text,
+    CASE WHEN ocr_status IN ('ocr_complete', 'text_extracted') THEN 'complete' ELSE 'failed' END AS status FROM v_pages
+  UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, 'ocr', 'whole ' || doc_id, CASE WHEN doc_id % 3 = 0 THEN 'failed' ELSE 'complete' END FROM documents"""
+NEEDS = {"v_versions": ["v_documents"], "v_analysis": ["v_documents", "v_versions"], "v_ocr": ["v_pages"], "v_results": ["v_pages"]}
 
 
 def sql(query: str) -> str:

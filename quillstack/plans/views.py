@@ -126,3 +126,22 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.pmod(F.col("c_custkey"), F.lit(97)).cast("string").alias("document_id"), kind.alias("entity_type"), text.alias("entity_text"), F.lower(text).alias("normalized_text"),
         F.when(place, F.col("c_nationkey") * 5.0 - 60.0).alias("latitude"), F.when(place, F.col("c_nationkey") * 13.0 - 150.0).alias("longitude"),
     ).dropDuplicates(["entity_type", "normalized_text", "document_id"])
+
+
+def ocr_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result per page: page_id, document_id, page_number, backend, text, image_hash."""
+    return pages(spark, sf_dir).select(
+        (F.col("document_id").cast("long") * 100_000 + F.col("page_number")).alias("page_id"), "document_id", "page_number",
+        F.when(F.col("page_number") % 2 == 0, "second").otherwise("first").alias("backend"), F.col("ocr_text").alias("text"), F.sha2("pdf_text", 256).alias("image_hash"),
+    )
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text results of pages, and of whole documents (page_id null): document_id, page_id, analysis_type, result_text, status."""
+    done = F.when(F.col("ocr_status").isin("ocr_complete", "text_extracted"), "complete").otherwise("failed")
+    each = pages(spark, sf_dir).select("document_id", (F.col("document_id").cast("long") * 100_000 + F.col("page_number")).alias("page_id"), F.lit("ocr").alias("analysis_type"), F.col("ocr_text").alias("result_text"), done.alias("status"))
+    whole = read(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("document_id"), F.lit(None).cast("long").alias("page_id"), F.lit("ocr").alias("analysis_type"),
+        F.concat(F.lit("whole "), F.col("doc_id").cast("string")).alias("result_text"), F.when(F.col("doc_id") % 3 == 0, "failed").otherwise("complete").alias("status"),
+    )
+    return each.unionByName(whole)

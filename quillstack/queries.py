@@ -814,3 +814,6 @@ def page_merge(spark, d):
 def ranked_search(spark, d):
     """Pages with forms of one word, counted per document; a stemmer is beyond SQL."""
     return ranked.search(views.pages(spark, d), "lyed", 1_000_000).groupBy("document_id").agg(F.count("*").alias("n"))
+
+
+from . import queries_lookups  # noqa: E402, F401  registers its queries
