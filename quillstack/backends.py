@@ -97,3 +97,33 @@ def extractive_summary(row: dict) -> str | None:
 
 
 register(Backend("first_sentence", "summary", extractive_summary))
+
+
+def chosen(frame: DataFrame, backends: list[Backend], kind: str) -> DataFrame:
+    """``frame`` (mime_type) with ``backend``: the first of ``kind`` that supports the type, null if none does."""
+    out = F.lit(None).cast("string")
+    for b in reversed([b for b in backends if b.kind == kind]):
+        out = F.when(supports(b, F.col("mime_type")), b.name).otherwise(out)
+    return frame.withColumn("backend", out)
+
+
+def pdf_pages(texts: DataFrame) -> DataFrame:
+    """(document_id, page_number, text) of extracted PDF texts (document_id, text): form feeds end pages, blank ones are pages too."""
+    parts = texts.select("document_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\f")).alias("pos", "text"))
+    return parts.select("document_id", (F.col("pos") + 1).alias("page_number"), "text")
+
+
+def recorded(outcomes: DataFrame, results: DataFrame) -> DataFrame:
+    """``apply``'s outcomes over the stored ones by document and backend; skipped documents have none."""
+    from .operators.work import upsert
+
+    return upsert(results, outcomes, ["document_id", "backend"])
+
+
+def term_list(backend: Backend, sites: DataFrame) -> DataFrame:
+    """(document_id, terms) of a term backend, whose answer is a comma list, with the seeds in column ``seeds`` first."""
+    from .functions import discovery
+
+    answers = apply(sites, backend, ["domain", "seeds"]).select("document_id", F.split("result", ",").alias("found"))
+    joined = sites.select("document_id", "seeds").join(answers, "document_id", "left")
+    return joined.select("document_id", discovery.union_terms(F.col("seeds"), F.transform("found", lambda t: F.btrim(t))).alias("terms"))

@@ -54,3 +54,11 @@ def to_cdx(at: Column) -> Column:
 
 def archive_url(base: str, at: Column, url: Column, raw: bool = False) -> Column:
     return F.concat(F.lit(base.rstrip("/") + "/"), to_cdx(at), F.lit("id_/" if raw else "/"), url)
+
+
+def parsed(text: Column, required: bool = True) -> Column:
+    """Time of an RFC 3339 text; of anything else the epoch, or null if it is not required."""
+    t = F.upper(F.btrim(text))
+    bare = F.regexp_replace(t, r"\.\d+", "")
+    at = F.when(t.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$"), F.try_to_timestamp(bare, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
+    return F.coalesce(at, F.timestamp_seconds(F.lit(0))) if required else at

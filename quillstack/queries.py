@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backends
-from .functions import dates, discovery, entities as ner, mime, names, terms, urls
-from .operators import browse, crawl, export, geo, ranked, state, stats, versions, work
+from .functions import dates, discovery, mime, names, terms, urls
+from .operators import browse, crawl, export, geo, state, stats, versions, work
 from .plans import views
 from .plans.oracle import category, sql
 from .plans.views import ANCHOR
@@ -467,14 +466,6 @@ def server_date_check(spark, d):
     return read(spark, d, "events").select(F.col("event_id").alias("id"), dates.server(F.date_trunc("second", ts), F.lit("2024-01-15 00:00:00").cast("timestamp")).isNotNull().alias("published"))
 
 
-@query("SELECT doc_id, contains(text, 'General Public') AS gpl, contains(text, 'Apache License') AS apache FROM documents")
-def entity_persons(spark, d):
-    """Capitalised names as the extractor finds them, held against two phrases of the texts."""
-    found = read(spark, d, "documents").select("doc_id", ner.persons(F.col("text")).alias("p"))
-    has = lambda w: F.exists("p", lambda n: n.contains(w))
-    return found.select("doc_id", has("General Public").alias("gpl"), has("Apache License").alias("apache"))
-
-
 # Crawl
 
 
@@ -723,22 +714,6 @@ def truncated_texts(spark, d):
     return cut.select("doc_id", F.octet_length("cut").cast("long").alias("bytes"), F.length("cut").cast("long").alias("chars"))
 
 
-@query("SELECT doc_id, 'CIA|FBI' AS organizations, 'TOP SECRET//SCI' AS marks, 'Berlin|Ohio' AS places FROM documents")
-def entity_extraction(spark, d):
-    """Entities planted in front of every text, as one sentence each."""
-    text = F.concat(F.lit("The FBI and the CIA. Marked TOP SECRET//SCI. From Ohio to Berlin. "), F.lower("text"))
-    found = read(spark, d, "documents").select("doc_id", ner.entities(text).alias("e"))
-    of = lambda kind: F.array_join(F.transform(F.filter("e", lambda x: x["type"] == kind), lambda x: x["text"]), "|")
-    return found.select("doc_id", of("organization").alias("organizations"), of("file_number").alias("marks"), of("location").alias("places"))
-
-
-@query("SELECT doc_id, 2 AS n FROM documents")
-def url_finder(spark, d):
-    """URLs planted around every text; an excluded domain and a repeated one do not count."""
-    text = F.concat(F.lit("(https://a.example.org/x_(1)). https://b.example.org/r.pdf, "), F.lower("text"), F.lit(" https://www.google.com/q https://b.example.org/r.pdf"))
-    return read(spark, d, "documents").select("doc_id", F.size(urls.found(text)).alias("n"))
-
-
 # Sources, from lines made of driver tables
 
 
@@ -802,18 +777,4 @@ def save_new_by_url(spark, d):
     return new.select(F.col("found_id").alias("id"), "source_url")
 
 
-@query("SELECT document_id, page_number, CASE WHEN ocr_text IS NOT NULL AND page_number % 2 = 0 THEN 'ocr' ELSE 'pdf' END AS best FROM v_pages WHERE length(regexp_replace(pdf_text, '\\s', '', 'g')) BETWEEN 5 AND 400")
-def page_merge(spark, d):
-    """Every second page's OCR text doubles the PDF's: only those win by over a fifth."""
-    pages = views.pages(spark, d).withColumn("ocr", F.when(F.col("page_number") % 2 == 0, F.concat("ocr_text", "ocr_text")).otherwise(F.col("ocr_text")))
-    solid = F.length(F.regexp_replace("pdf_text", r"\s", "")).between(5, 400)
-    return pages.filter(solid).select("document_id", "page_number", F.when(backends.best_page(F.col("pdf_text"), F.col("ocr")) == F.col("ocr"), F.when(F.col("ocr") == F.col("pdf_text"), "pdf").otherwise("ocr")).otherwise("pdf").alias("best"))
-
-
-@query()
-def ranked_search(spark, d):
-    """Pages with forms of one word, counted per document; a stemmer is beyond SQL."""
-    return ranked.search(views.pages(spark, d), "lyed", 1_000_000).groupBy("document_id").agg(F.count("*").alias("n"))
-
-
-from . import queries_lookups  # noqa: E402, F401  registers its queries
+from . import queries_lookups, queries_texts  # noqa: E402, F401  they register their queries

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.mime import BY_EXTENSION, EXTRACTABLE, UNKNOWN
 
@@ -96,3 +97,25 @@ def types(files: DataFrame) -> DataFrame:
             yield pd.DataFrame({"document_id": b["document_id"], "mime_type": [corrected(m, bytes(c)) for m, c in zip(b["mime_type"], b["content"])]})
 
     return files.select("document_id", "mime_type", "content").mapInPandas(run, "document_id string, mime_type string")
+
+
+def attachments(files: DataFrame) -> DataFrame:
+    """Named attachments of (document_id, content) e-mails: filename, type by name where the part's is unknown, size and bytes."""
+
+    def parts(content: bytes) -> Iterator[dict]:
+        for a in email.message_from_bytes(content, policy=email.policy.default).iter_attachments():
+            if name := a.get_filename():
+                data = a.get_payload(decode=True) or b""
+                kind = a.get_content_type()
+                yield {"filename": name, "mime_type": type_of_name(name) if kind == UNKNOWN else kind, "file_size": len(data), "content": data}
+
+    return _per_file(files, "document_id string, error string, filename string, mime_type string, file_size long, content binary", parts)
+
+
+def virtual_files(files: DataFrame) -> DataFrame:
+    """Files inside (document_id, mime_type, content) containers as virtual documents: members of archives, attachments and bodies of e-mails."""
+    archives, mails = files.filter("mime_type = 'application/zip'"), files.filter("mime_type = 'message/rfc822'")
+    columns = ["document_id", "filename", "mime_type", "file_size"]
+    inside = zip_files(archives).filter("error IS NULL").select(*columns).unionByName(attachments(mails).filter("error IS NULL").select(*columns))
+    body = emails(mails).filter("error IS NULL").select("document_id", F.lit("body.txt").alias("filename"), F.lit("text/plain").alias("mime_type"), F.octet_length("body").cast("long").alias("file_size"))
+    return inside.unionByName(body)

@@ -52,6 +52,12 @@ def records(content: bytes, keep_empty: bool = False) -> Iterator[dict]:
 def read_dat(spark: SparkSession, path: str, keep_empty: bool = False) -> DataFrame:
     """(path, line, begin_bates, end_bates, values map) of DAT files; a file is read by one task."""
 
+    return dat_records(spark.read.format("binaryFile").load(path).select("path", "content"), keep_empty)
+
+
+def dat_records(files: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """``read_dat`` of (path, content) rows."""
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p, content in zip(b["path"], b["content"]):
@@ -59,7 +65,6 @@ def read_dat(spark: SparkSession, path: str, keep_empty: bool = False) -> DataFr
                 if rows:
                     yield pd.DataFrame(rows)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(parse, "path string, line long, begin_bates string, end_bates string, values map<string,string>")
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FRAME = 1 << 25
 _STATUS = re.compile(rb"^HTTP/\d(?:\.\d)? (\d{3})")
 
 
@@ -38,17 +39,27 @@ def http_payload(block: bytes) -> tuple[int | None, str | None, bytes]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(path, type, url, status, mime_type, body, at) of all records; a file is read by one task."""
 
+    return warc_rows(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def warc_rows(files: DataFrame) -> DataFrame:
+    """``read_warc`` of (path, content) rows; records leave in frames of about FRAME bytes."""
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", "type", "url", "status", "mime_type", "body", "at"]
         for b in batches:
             for p, content in zip(b["path"], b["content"]):
-                rows = []
+                rows, held = [], 0
                 for h, block in warc_records(content):
                     status, kind, body = http_payload(block) if h.get("warc-type") == "response" else (None, None, b"")
                     rows.append((p, h.get("warc-type"), (h.get("warc-target-uri") or "").strip("<>") or None, status, kind, body, h.get("warc-date")))
-                yield pd.DataFrame(rows, columns=["path", "type", "url", "status", "mime_type", "body", "at"])
+                    held += len(body)
+                    if held > FRAME:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+                yield pd.DataFrame(rows, columns=columns)
 
-    schema = "path string, type string, url string, status int, mime_type string, body binary, at string"
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, schema)
+    return files.mapInPandas(parse, "path string, type string, url string, status int, mime_type string, body binary, at string")
 
 
 def warc_reason(pattern: str | None = None) -> Column:
@@ -129,3 +140,10 @@ def item_url(item: Column, field: str | None, template: str | None = None, fallb
     if fallback:
         choices.append(json_value(item, fallback))
     return F.coalesce(*choices)
+
+
+def descend(frame: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """``frame`` once for each JSON item below the named arrays of ``column``, one inside the other; the item takes its place."""
+    for name in names:
+        frame = frame.withColumn(column, F.explode(F.from_json(json_value(F.col(column), name), "array<string>")))
+    return frame
