@@ -99,3 +99,51 @@ def copy_tables(tables: dict[str, DataFrame], path: str) -> None:
 
 def load_tables(spark, path: str, names: list[str]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+
+
+def annotate(docs: DataFrame, records: DataFrame, now: int) -> DataFrame:
+    """``metadata`` (JSON) with the annotation ``records`` (id, kind, version, data, error) of each document under ``annotations``; the update time is set."""
+    entry = F.struct("kind", F.struct("version", "data", "error", F.lit(now).alias("at")).alias("record"))
+    held = records.groupBy("id").agg(F.map_from_entries(F.collect_list(entry)).alias("__new"))
+    one = "struct<version:int,data:string,error:string,at:bigint>"
+    before = F.coalesce(F.from_json(F.get_json_object("metadata", "$.annotations"), f"map<string,{one}>"), F.create_map().cast(f"map<string,{one}>"))
+    merged = F.map_concat(F.map_filter(before, lambda k, _: ~F.coalesce(F.map_contains_key("__new", k), F.lit(False))), F.col("__new").cast(f"map<string,{one}>"))
+    others = F.map_filter(F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>")), lambda k, _: k != "annotations")
+    whole = F.to_json(F.struct(F.to_json(merged).alias("annotations"), others.alias("rest")))
+    joined = docs.join(held, "id", "left")
+    hit = F.col("__new").isNotNull()
+    return joined.withColumn("metadata", F.when(hit, whole).otherwise(F.col("metadata"))).withColumn("updated", F.when(hit, F.lit(now)).otherwise(F.col("updated")).cast(docs.schema["updated"].dataType)).drop("__new")
+
+
+def dated(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with estimated_date, date_confidence and date_source set where ``found`` (id, date, confidence, source) has them."""
+    new = found.select("id", F.col("date").alias("__d"), F.col("confidence").alias("__c"), F.col("source").alias("__s"))
+    hit = F.col("__d").isNotNull()
+    values = {"estimated_date": F.col("__d"), "date_confidence": F.col("__c"), "date_source": F.concat(F.lit("detected:"), "__s")}
+    joined = docs.join(new, "id", "left")
+    return joined.select(*[F.when(hit, v).otherwise(F.col(c) if c in docs.columns else F.lit(None)).alias(c) for c, v in values.items()], *[c for c in docs.columns if c not in values])
+
+
+def add_pages(pages: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pages saved over those of the same document, version and number."""
+    return upsert(pages, rows, ["document_id", "version_id", "page_number"])
+
+
+def add_entities(entities: DataFrame, rows: DataFrame) -> DataFrame:
+    """Entity rows that are new by type, normalised text and document, appended."""
+    return insert_new(entities, rows, ["entity_type", "normalized_text", "document_id"])
+
+
+def migrated_paths(versions: DataFrame, ids: DataFrame) -> DataFrame:
+    """Stored paths of ``ids`` (id, dedup_index) cleared, their dedup index set."""
+    new = ids.select("id", F.col("dedup_index").alias("__i"), F.lit(True).alias("__hit"))
+    path = F.when(F.col("__hit"), F.lit(None).cast("string")).otherwise(F.col("file_path")).alias("file_path")
+    index = F.when(F.col("__hit"), F.col("__i")).otherwise(F.col("dedup_index") if "dedup_index" in versions.columns else F.lit(None)).alias("dedup_index")
+    return versions.join(new, "id", "left").select(*[c for c in versions.columns if c not in ("file_path", "dedup_index")], path, index)
+
+
+def tables(known: dict[str, DataFrame]) -> DataFrame:
+    """(name, rows) of named tables."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [t.agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows") for n, t in known.items()])

@@ -128,3 +128,65 @@ def heartbeat(states: DataFrame, beats: DataFrame) -> DataFrame:
 
 def drop_stale(states: DataFrame, now: int, seconds: int) -> DataFrame:
     return states.filter(~((F.col("status") == "stopped") & (F.col("last_heartbeat") < now - seconds)))
+
+
+class Queue:
+    """Work of one kind over immutable tables: what is open, a batch of it, and the table after a claim, a result or a failure."""
+
+    def __init__(self, docs: DataFrame, versions: DataFrame, kind: str, now: int):
+        self.docs, self.versions, self.kind, self.now = docs, versions, kind, now
+
+    def open(self, results: DataFrame) -> DataFrame:
+        return needing_analysis(self.docs, self.versions, results, self.kind, self.now)
+
+    def batch(self, results: DataFrame, after: str = "", size: int = 4096) -> DataFrame:
+        return self.open(results).filter(F.col("document_id") > after).orderBy("document_id").limit(size)
+
+    def _rows(self, ids: DataFrame, status: str) -> DataFrame:
+        last = self.versions.groupBy("document_id").agg(F.max("id").alias("version_id")).join(ids.select("document_id"), "document_id", "left_semi")
+        return last.select("document_id", "version_id", F.lit(self.kind).alias("analysis_type"), F.lit(status).alias("status"), F.lit(self.now).cast("long").alias("created"))
+
+    def _put(self, results: DataFrame, ids: DataFrame, status: str) -> DataFrame:
+        return upsert(results, self._rows(ids, status), ["document_id", "version_id", "analysis_type"])
+
+    def claim(self, results: DataFrame, ids: DataFrame) -> DataFrame:
+        return self._put(results, ids, "pending")
+
+    def complete(self, results: DataFrame, ids: DataFrame) -> DataFrame:
+        return self._put(results, ids, "complete")
+
+    def fail(self, results: DataFrame, ids: DataFrame) -> DataFrame:
+        return self._put(results, ids, "failed")
+
+
+def wide(results: DataFrame, *stages) -> DataFrame:
+    """Each stage over all its open work before the next one starts."""
+    return pipeline(results, *stages)
+
+
+def deep(chunks: list[DataFrame], results: DataFrame, *stages) -> DataFrame:
+    """All stages over one chunk of ids before the next chunk; a stage is a function of (results, ids)."""
+    for ids in chunks:
+        for stage in stages:
+            results = stage(results, ids)
+    return results
+
+
+def fetched(urls: DataFrame, answers: DataFrame, now: int) -> DataFrame:
+    """Crawl URLs after ``answers`` (url, status, size): fetched, skipped if unchanged, failed else; others stay."""
+    state = F.when(F.col("__s") == 304, "skipped").when(F.col("__s").isin(200, 206) & (F.col("__n") > 0), "fetched").otherwise("failed")
+    hit = F.col("__s").isNotNull()
+    joined = urls.join(answers.select("url", F.col("status").alias("__s"), F.col("size").alias("__n")), "url", "left")
+    at = F.when(hit & (state == "fetched"), F.lit(now)).otherwise(F.col("fetched")).cast(urls.schema["fetched"].dataType)
+    return joined.select(*[F.when(hit, state).otherwise(F.col("status")).alias(c) if c == "status" else at.alias(c) if c == "fetched" else F.col(c) for c in urls.columns])
+
+
+def refresh_due(urls: DataFrame, now: int, ttl: int) -> DataFrame:
+    """Fetched URLs older than ``ttl`` seconds."""
+    return urls.filter((F.col("status") == "fetched") & (F.col("fetched") < now - ttl))
+
+
+def changed_since(urls: DataFrame, heads: DataFrame) -> DataFrame:
+    """Of ``urls`` (url, last_modified) those whose ``heads`` (url, last_modified) say another time, or none."""
+    new = heads.select("url", F.col("last_modified").alias("__new"))
+    return urls.join(new, "url").filter(F.col("__new").isNull() | ~F.col("__new").eqNullSafe(F.col("last_modified"))).drop("__new")

@@ -777,4 +777,4 @@ def save_new_by_url(spark, d):
     return new.select(F.col("found_id").alias("id"), "source_url")
 
 
-from . import queries_lookups, queries_texts  # noqa: E402, F401  they register their queries
+from . import queries_lookups, queries_state, queries_texts  # noqa: E402, F401  they register their queries

@@ -54,19 +54,19 @@ def storage_mode(source: str, target: str) -> str:
 
 
 class ImportSource(ABC):
-    """A reader of documents that may go on where it stopped; ``read`` gives the rows from a position on."""
+    """A reader of documents that may go on where it stopped; ``read`` gives the rows behind a position, all without one."""
 
     name = "source"
     resumes = False
 
     @abstractmethod
-    def read(self, spark: SparkSession, position: int = 0) -> DataFrame: ...
+    def read(self, spark: SparkSession, position: int | None = None) -> DataFrame: ...
 
     def resume(self, spark: SparkSession, progress: Progress | None) -> DataFrame | None:
         """Rows that are left, none of a source that is done."""
         if progress and progress.done:
             return None
-        return self.read(spark, progress.position if progress and self.resumes else 0)
+        return self.read(spark, progress.position if progress and self.resumes else None)
 
 
 class TableSource(ImportSource):
@@ -77,8 +77,8 @@ class TableSource(ImportSource):
     def __init__(self, name: str, table: DataFrame, key: str):
         self.name, self.table, self.key = name, table, key
 
-    def read(self, spark: SparkSession, position: int = 0) -> DataFrame:
-        return self.table.filter(F.col(self.key) > position)
+    def read(self, spark: SparkSession, position: int | None = None) -> DataFrame:
+        return self.table if position is None else self.table.filter(F.col(self.key) > position)
 
 
 class ArchiveSource(ABC):

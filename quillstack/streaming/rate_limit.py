@@ -88,3 +88,31 @@ def pace(log: DataFrame) -> DataFrame:
         yield pd.DataFrame({"source_id": [key[0]], "at": [rows["ts"].max()], "delay_ms": [p.delay], "in_backoff": [p.in_backoff]})
 
     return log.select("source_id", "ts", "response_status", "url").groupBy("source_id").applyInPandasWithState(update, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def kept(blocked: DataFrame, now: Column, seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """Forbidden answers (ts) no older than the window."""
+    return blocked.filter(F.col("ts") > now - F.make_dt_interval(secs=F.lit(seconds)))
+
+
+def browser(healthy: list[str], turn: Column) -> Column:
+    """The healthy browser whose turn it is, null if none is."""
+    return F.get(F.array(*[F.lit(b) for b in sorted(healthy)]), F.pmod(turn, F.lit(max(1, len(healthy)))).cast("int"))
+
+
+class RateLimits:
+    """Pace of each domain in memory, the contract of a pacing store: read, update, and forget old blocks."""
+
+    def __init__(self):
+        self.paces: dict[str, Pace] = {}
+
+    def get(self, domain: str) -> Pace:
+        return self.paces.setdefault(domain, Pace())
+
+    def see(self, domain: str, at: float, status: int, url: str, retry_after: bool = False) -> Pace:
+        self.get(domain).see(at, status, url, retry_after)
+        return self.paces[domain]
+
+    def forget(self, now: float) -> None:
+        for p in self.paces.values():
+            p.blocked = tuple(b for b in p.blocked if now - b[0] <= WINDOW_SECONDS)
