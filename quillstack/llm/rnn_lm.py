@@ -56,9 +56,12 @@ SEED = 5
 _TOP = np.float32(60)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
+def _sigmoid(x: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
     np.clip(x, -30, 30, out=x)
-    return 1 / (1 + np.exp(-x))
+    out = np.negative(x, out=out)
+    np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
 def _lanes(lengths: np.ndarray, most: int) -> list[list[int]]:
@@ -189,54 +192,85 @@ class Network:
         ``h`` is the state before it, zero where ``first`` says that a document starts; the state after it is returned.
         """
         lanes, length = windows.shape[0], windows.shape[1] - 1
+        kind = self.p["u"].dtype
         grad = {k: np.zeros_like(v) for k, v in self.p.items() if k != "x"}
-        h = np.zeros((lanes, HIDDEN), np.float32) if h is None else h
+        h = np.zeros((lanes, HIDDEN), kind) if h is None else h
         first = np.zeros((lanes, length), bool) if first is None else first
         given = self.p["x"][windows[:, :-1].T]
         starts = first.any(0)
-        states, kept = [], []
+        shape = (length, lanes, HIDDEN)
+        states, befores, new, gh = (np.empty(shape, kind) for _ in range(4))
+        zr = np.empty((length, lanes, 2 * HIDDEN), kind)
+        u = self.p["u"]
         for t in range(length):
-            before = np.where(first[:, t, None], np.float32(0), h) if starts[t] else h
-            h, *rest = self._step(before, given[t])
-            states.append(h)
-            kept.append((before, *rest))
-        real = windows[:, 1:].T.reshape(-1) >= 0
-        flat = np.concatenate(states)
-        _, dh = self.log_probs(flat[real], windows[:, 1:].T.reshape(-1)[real], grad)
-        every = np.zeros_like(flat)
-        every[real] = dh
-        every = every.reshape(length, lanes, HIDDEN)
-        after = np.zeros((lanes, HIDDEN), np.float32)
-        befores, z, r, new, gh = (np.stack(x) for x in zip(*kept))
-        by_n, by_z, by_r = (1 - z) * (1 - new * new), (befores - new) * z * (1 - z), gh * r * (1 - r)
-        gates = np.empty((length, lanes, 3 * HIDDEN), np.float32)  # dz, dr and dn; dn * r for the state's part
-        back, down = np.empty_like(gates), np.ascontiguousarray(self.p["u"].T)
+            befores[t] = np.where(first[:, t, None], np.float32(0), h) if starts[t] else h
+            g = befores[t] @ u
+            gh[t] = g[:, 2 * HIDDEN :]
+            gates = np.add(given[t, :, : 2 * HIDDEN], g[:, : 2 * HIDDEN], out=zr[t])
+            _sigmoid(gates, gates)
+            n = np.multiply(gates[:, HIDDEN:], gh[t], out=new[t])
+            n += given[t, :, 2 * HIDDEN :]
+            np.tanh(n, out=n)
+            h = np.subtract(befores[t], n, out=states[t])
+            h *= gates[:, :HIDDEN]
+            h += n
+        target = windows[:, 1:].T.reshape(-1)
+        real = target >= 0
+        flat = states.reshape(-1, HIDDEN)
+        if real.all():
+            every = self.log_probs(flat, target, grad)[1]
+        else:
+            every = np.zeros_like(flat)
+            every[real] = self.log_probs(flat[real], target[real], grad)[1]
+        every = every.reshape(shape)
+        z, r = zr[:, :, :HIDDEN], zr[:, :, HIDDEN:]
+        by_z = befores - new
+        by_z *= z
+        by_z *= 1 - z
+        by_n = 1 - z
+        by_n *= 1 - new * new
+        by_r = gh * r
+        by_r *= 1 - r
+        gates = np.empty((length, lanes, 3 * HIDDEN), kind)  # dz, dr and dn; dn * r for the state's part
+        back, down = np.empty_like(gates), np.ascontiguousarray(u.T)
+        after = np.zeros((lanes, HIDDEN), kind)
         for t in range(length - 1, -1, -1):
             d = every[t] + after
-            dn = d * by_n[t]
+            dn = np.multiply(d, by_n[t], out=gates[t, :, 2 * HIDDEN :])
             dg = back[t]
-            dg[:, :HIDDEN] = d * by_z[t]
-            dg[:, HIDDEN : 2 * HIDDEN] = dn * by_r[t]
-            dg[:, 2 * HIDDEN :] = dn * r[t]
-            gates[t, :, 2 * HIDDEN :] = dn
-            after = d * z[t] + dg @ down
+            np.multiply(d, by_z[t], out=dg[:, :HIDDEN])
+            np.multiply(dn, by_r[t], out=dg[:, HIDDEN : 2 * HIDDEN])
+            np.multiply(dn, r[t], out=dg[:, 2 * HIDDEN :])
+            after = dg @ down
+            d *= z[t]
+            after += d
             if starts[t]:
                 after[first[:, t]] = 0
         gates[:, :, : 2 * HIDDEN] = back[:, :, : 2 * HIDDEN]
         grad["u"] += befores.reshape(-1, HIDDEN).T @ back.reshape(-1, 3 * HIDDEN)
         count = max(1, int(real.sum())) / 64
         for k, g in grad.items():
-            self._descend(k, slice(None), g / count, memory)
+            g /= count
+            self._descend(k, slice(None), g, memory)
         inputs = windows[:, :-1].T.reshape(-1)
         order = np.argsort(inputs, kind="stable")[int((inputs < 0).sum()) :]
         rows, at = np.unique(inputs[order], return_index=True)
         self._descend("x", rows, np.add.reduceat(gates.reshape(-1, 3 * HIDDEN)[order], at, axis=0) / count, memory)
-        return h
+        return states[-1]
 
     def _descend(self, name: str, rows, g: np.ndarray, memory: dict) -> None:
         np.clip(g, -CLIP, CLIP, out=g)
-        memory[name][rows] += g * g
-        self.p[name][rows] -= RATE * g / np.sqrt(memory[name][rows] + 1e-6)
+        whole = isinstance(rows, slice)
+        seen = memory[name] if whole else memory[name][rows]
+        seen += g * g
+        scale = np.sqrt(seen + 1e-6)
+        np.divide(g, scale, out=g)
+        g *= RATE
+        if whole:
+            self.p[name] -= g
+        else:
+            memory[name][rows] = seen
+            self.p[name][rows] -= g
 
     def likelihood(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each symbol sequence, state carried to its end."""
