@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +26,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished rounds now; else they stay until the driver's next garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Let shuffle files go as soon as their query has ended.
+_CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled")
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Inside, queries drop their shuffle files when they end: rounds that ``cut`` their results need them no longer.  The session's settings come back after it."""
+    held = {k: spark.conf.get(k, None) for k in _CLEANUP}
+    try:
+        for k in _CLEANUP:
+            spark.conf.set(k, "true")
+        yield
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 #: ``attach`` broadcasts up to so many rows and bytes; its filter has MARKS bitmaps of 4 KB.
@@ -72,8 +84,11 @@ def sized(df: DataFrame, rows: int, per_task: int = 100_000) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstack")
+    """The folder that driver and executors share; only a local session, as in tests, may do without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder or tempfile.mkdtemp(prefix="quillstack")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

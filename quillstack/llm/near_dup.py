@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, lower_az, release, sized, table, words
+from ._spark import cut, lower_az, sized, table, tidy, words
 from ._text import mix, shingles, slices, unique_per_text, word_hashes
 
 SHINGLE = 5
@@ -246,7 +246,6 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; a round's output is cut by
     checkpoint().  Stars are aggregates and joins, so a hub's edges may be split.
     """
-    spark = edges.sparkSession
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
@@ -263,7 +262,6 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         now = cut(small.filter("u <> v").distinct())
-        release(spark)
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -276,14 +274,11 @@ def near_links(texts: DataFrame, bands: DataFrame, least: float = SIMILARITY) ->
     ``bands`` has (doc_id, keys) of the ids to compare, ``texts`` their texts
     (an id with several texts counts for each of them).
     """
-    spark = texts.sparkSession
     members = bands.select("doc_id", F.explode("keys").alias("key"))
     # aggregates by key are cut before they are joined: both sides are then exchanged anew, and a large bucket may be split
     shared = cut(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
     members = cut(members.join(shared, "key").distinct())
-    release(spark)
     sets = cut(_set_rows(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi")))
-    release(spark)
     links = labels = None
     for salt in (1, 2):
         open_members = members.withColumn("label", F.col("doc_id")) if labels is None else cut(_open(_labelled(members, labels)))
@@ -294,13 +289,11 @@ def near_links(texts: DataFrame, bands: DataFrame, least: float = SIMILARITY) ->
         # the stars found so far stand for their links
         links = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = cut(components(links))
-        release(spark)
     left = cut(_open(_labelled(members, labels)))
     sizes = left.groupBy("key").agg(F.count("*").alias("size"))
     few = left.join(sizes.filter(F.col("size") <= DIRECT).select("key"), "key").join(bands, "doc_id")
     many = left.join(sizes.filter(F.col("size") > DIRECT), "key")
     last = cut(_verified(cut(_cross(few)), sets, least).unionByName(_blockwise(many, sets, least)))
-    release(spark)
     return last.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
 
 
@@ -378,6 +371,11 @@ def spanning_links(sets: list[np.ndarray], labels: np.ndarray, least: float) ->
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) per distinct id with words: the least id of its near-duplicate class."""
+    with tidy(docs.sparkSession):
+        return _classes(docs, least)
+
+
+def _classes(docs: DataFrame, least: float) -> DataFrame:
     keyed = cut(signed(docs))
     texts = cut(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"), F.count("*").alias("n")))
     # a text that occurs once needs no join: its group row is the answer

@@ -12,7 +12,8 @@ Nothing of the size of the data is shuffled.
 
 Defined cases: null, empty or blank texts have no words, so they fail the base
 rules.  Without labels nothing is rejected beyond the base rules.  Repeated
-rows are judged alike.  An empty table gives an empty result.
+rows are judged alike; an id that any label calls good is trusted.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
