@@ -161,7 +161,7 @@ def stored_ocr(spark, d):
 # Entities
 
 
-@query("SELECT document_id, entity_text, latitude, longitude FROM v_entities WHERE latitude IS NOT NULL ORDER BY entity_text, document_id LIMIT 20 OFFSET 5")
+@query("SELECT document_id, entity_text, CAST(latitude AS DOUBLE) AS latitude, CAST(longitude AS DOUBLE) AS longitude FROM v_entities WHERE latitude IS NOT NULL ORDER BY entity_text, document_id LIMIT 20 OFFSET 5")
 def geocoded_page(spark, d):
     found = views.entities(spark, d).filter("latitude IS NOT NULL").orderBy("entity_text", "document_id").offset(5).limit(20)
     return found.select("document_id", "entity_text", "latitude", "longitude")

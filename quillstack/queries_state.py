@@ -21,11 +21,11 @@ from .streaming import rate_limit
 # Crawl URLs
 
 
-@query("SELECT id, url, status FROM v_crawl UNION ALL SELECT NULL, 'https://new.org/' || p, 'discovered' FROM (SELECT DISTINCT page_id % 3 AS p FROM pages)")
+@query("SELECT id, url, status FROM v_crawl UNION ALL SELECT -1, 'https://new.org/' || p, 'discovered' FROM (SELECT DISTINCT page_id % 3 AS p FROM pages)")
 def added_urls(spark, d):
     """Known URLs are not added again; new ones once."""
     urls = views.crawl_urls(spark, d).select("id", "url", "status")
-    new = read(spark, d, "pages").select(F.lit(None).cast("long").alias("id"), F.concat(F.lit("https://new.org/"), (F.col("page_id") % 3).cast("string")).alias("url"), F.lit("discovered").alias("status"))
+    new = read(spark, d, "pages").select(F.lit(-1).cast("long").alias("id"), F.concat(F.lit("https://new.org/"), (F.col("page_id") % 3).cast("string")).alias("url"), F.lit("discovered").alias("status"))
     return work.insert_new(urls, urls.withColumn("status", F.lit("again")).unionByName(new), ["url"])
 
 
@@ -35,7 +35,7 @@ def urls_marked_for_refresh(spark, d):
     return work.change(urls, (F.col("status") == "fetched") & (F.col("id") % 2 == 0), status=F.lit("discovered")).select("id", "status")
 
 
-@query(f"SELECT id, CASE WHEN id % 4 = 0 THEN 'skipped' WHEN id % 4 = 1 THEN 'fetched' WHEN id % 4 = 2 THEN 'failed' ELSE status END AS status, CASE WHEN id % 4 = 1 THEN {ANCHOR} ELSE fetched END AS fetched FROM v_crawl WHERE url NOT IN (SELECT url FROM v_crawl GROUP BY url HAVING count(*) > 1)")
+@query(f"SELECT id, CASE WHEN id % 4 = 0 THEN 'skipped' WHEN id % 4 = 1 THEN 'fetched' WHEN id % 4 = 2 THEN 'failed' ELSE status END AS status, CASE WHEN id % 4 = 1 THEN {ANCHOR} ELSE coalesce(fetched, 0) END AS fetched FROM v_crawl WHERE url NOT IN (SELECT url FROM v_crawl GROUP BY url HAVING count(*) > 1)")
 def fetched_urls(spark, d):
     """Answers of one in four: unchanged, with content, empty, none."""
     urls = views.crawl_urls(spark, d)
@@ -43,7 +43,7 @@ def fetched_urls(spark, d):
     urls = urls.join(once, "url", "left_semi")
     k = F.col("id") % 4
     answers = urls.filter(k < 3).select("url", F.when(k == 0, 304).otherwise(200).alias("status"), F.when(k == 1, 10).otherwise(0).alias("size"))
-    return work.fetched(urls, answers, ANCHOR).select("id", "status", "fetched")
+    return work.fetched(urls, answers, ANCHOR).select("id", "status", F.coalesce("fetched", F.lit(0)).alias("fetched"))
 
 
 @query(f"SELECT id FROM v_crawl WHERE status = 'fetched' AND fetched < {ANCHOR} - 3 * 86400 AND id % 3 <> 0")
@@ -127,7 +127,7 @@ def scraper_configs(spark, d):
 # Documents, versions, pages
 
 
-@query(f"SELECT id, CASE WHEN doc_id % 3 = 0 THEN 2 WHEN doc_id % 3 = 1 THEN 1 END AS version, doc_id % 3 = 0 AS error, CASE WHEN doc_id % 3 < 2 THEN {ANCHOR} ELSE updated END AS updated FROM v_documents")
+@query(f"SELECT id, CASE WHEN doc_id % 3 = 0 THEN 2 WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END AS version, doc_id % 3 = 0 AS error, CASE WHEN doc_id % 3 < 2 THEN {ANCHOR} ELSE updated END AS updated FROM v_documents")
 def recorded_annotations(spark, d):
     """Annotations of two kinds and versions recorded in the metadata; a later one of a kind replaces the former."""
     docs = views.documents(spark, d).withColumn("metadata", F.lit('{"keep":"x"}'))
@@ -136,7 +136,7 @@ def recorded_annotations(spark, d):
     first = docs.filter(k < 2).select("id", F.inline(F.array(record("ner", 1, None), record("dates", 1, None))))
     out = state.annotate(state.annotate(docs, first, ANCHOR), docs.filter(k == 0).select("id", F.inline(F.array(record("ner", 2, "broken")))), ANCHOR)
     held = F.from_json(F.get_json_object(F.get_json_object("metadata", "$.annotations"), "$.ner"), "version int, error string")
-    return out.select("id", held["version"].alias("version"), F.coalesce(held["error"] == "broken", F.lit(False)).alias("error"), "updated")
+    return out.select("id", F.coalesce(held["version"], F.lit(0)).alias("version"), F.coalesce(held["error"] == "broken", F.lit(False)).alias("error"), "updated")
 
 
 @query("SELECT 'needing' AS part, count(*) FILTER (WHERE doc_id % 4 <> 0) AS n FROM documents UNION ALL SELECT 'current', count(*) FILTER (WHERE doc_id % 4 = 0) FROM documents")
@@ -210,17 +210,17 @@ def deleted_entities(spark, d):
     return work.delete(held, held.filter(F.col("document_id").cast("int") % 2 == 0).select("document_id").distinct()).select("document_id", "normalized_text")
 
 
-@query("SELECT id, CASE WHEN id % 3 = 0 THEN 'text/csv' ELSE mime_type END AS mime_type, CASE WHEN id % 2 = 0 THEN 7 END AS page_count FROM v_versions")
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN 'text/csv' ELSE mime_type END AS mime_type, CASE WHEN id % 2 = 0 THEN 7 ELSE -1 END AS page_count FROM v_versions")
 def updated_versions(spark, d):
     """Types corrected and page counts set."""
     v = views.versions(spark, d).withColumn("page_count", F.lit(None).cast("int"))
-    return work.change(work.change(v, F.col("id") % 3 == 0, mime_type=F.lit("text/csv")), F.col("id") % 2 == 0, page_count=F.lit(7)).select("id", "mime_type", "page_count")
+    return work.change(work.change(v, F.col("id") % 3 == 0, mime_type=F.lit("text/csv")), F.col("id") % 2 == 0, page_count=F.lit(7)).select("id", "mime_type", F.coalesce("page_count", F.lit(-1)).alias("page_count"))
 
 
-@query("SELECT id, CASE WHEN id % 2 = 1 THEN legacy_path END AS path, CASE WHEN id % 2 = 0 THEN id % 5 END AS dedup_index FROM v_versions")
+@query("SELECT id, CASE WHEN id % 2 = 1 THEN legacy_path END AS path, CASE WHEN id % 2 = 0 THEN id % 5 ELSE -1 END AS dedup_index FROM v_versions")
 def migrated_paths(spark, d):
     v = views.versions(spark, d).withColumnRenamed("legacy_path", "file_path")
-    return state.migrated_paths(v, v.filter("id % 2 = 0").select("id", (F.col("id") % 5).alias("dedup_index"))).select("id", F.col("file_path").alias("path"), "dedup_index")
+    return state.migrated_paths(v, v.filter("id % 2 = 0").select("id", (F.col("id") % 5).alias("dedup_index"))).select("id", F.col("file_path").alias("path"), F.coalesce("dedup_index", F.lit(-1)).alias("dedup_index"))
 
 
 _KEPT = "SELECT document_id, first_value(document_id) OVER (PARTITION BY content_hash ORDER BY document_id DESC) AS keeper, count(*) OVER (PARTITION BY content_hash) AS n FROM (SELECT document_id, arg_max(content_hash, id) AS content_hash FROM v_versions GROUP BY 1)"
@@ -386,14 +386,14 @@ def kept_counts(spark, d):
 _PROGRESS = "CASE page_id % 5 WHEN 0 THEN 'done' WHEN 1 THEN ' offset:' || page_id WHEN 2 THEN 'error: no ' || page_id WHEN 3 THEN '{\"position\":' || page_id || ',\"done\":false,\"error\":null}' ELSE 'junk' END"
 
 
-@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 0 WHEN 1 THEN page_id WHEN 2 THEN 0 WHEN 3 THEN page_id END AS position, CASE WHEN page_id % 5 < 4 THEN page_id % 5 = 0 END AS done, CASE WHEN page_id % 5 = 2 THEN ' no ' || page_id END AS error FROM pages")
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 0 WHEN 1 THEN page_id WHEN 2 THEN 0 WHEN 3 THEN page_id ELSE -1 END AS position, CASE WHEN page_id % 5 < 4 THEN CAST(page_id % 5 = 0 AS VARCHAR) END AS done, CASE WHEN page_id % 5 = 2 THEN ' no ' || page_id END AS error FROM pages")
 def import_progress(spark, d):
     """Progress files of both formats, and broken ones."""
     p = progress.parsed(F.expr(_PROGRESS.replace("CAST", "cast")))
-    return read(spark, d, "pages").select("page_id", p.alias("p")).select("page_id", "p.position", "p.done", "p.error")
+    return read(spark, d, "pages").select("page_id", p.alias("p")).select("page_id", F.coalesce("p.position", F.lit(-1)).alias("position"), F.col("p.done").cast("string").alias("done"), "p.error")
 
 
-@query("SELECT source AS run, sum(n_chars % 7) AS scanned, count(*) AS imported, 0 AS errors, string_agg('u' || doc_id, ',' ORDER BY 'u' || doc_id) AS urls FROM documents GROUP BY 1")
+@query("SELECT source AS run, CAST(sum(n_chars % 7) AS BIGINT) AS scanned, count(*) AS imported, 0 AS errors, string_agg('u' || doc_id, ',' ORDER BY 'u' || doc_id) AS urls FROM documents GROUP BY 1")
 def import_totals(spark, d):
     """Counters of single imports added up by source."""
     zero = F.lit(0).cast("long")
