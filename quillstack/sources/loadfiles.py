@@ -33,30 +33,57 @@ def _place(header: list[str], names: tuple[str, ...]) -> int | None:
     return next((i for n in names for i, h in enumerate(low) if h.replace(" ", "") == n.replace(" ", "")), None)
 
 
-def records(content: bytes, keep_empty: bool = False) -> Iterator[dict]:
-    """begin, end and the values of each record; records without a begin are dropped, end defaults to begin."""
-    lines = [x for x in content.split(b"\n") if x.strip()]
-    if not lines:
-        return
-    header = fields(lines[0], keep_empty)
+def record(header: list[str], line: bytes, keep_empty: bool = False) -> dict | None:
+    """begin, end and the values of a line; None without a begin, end defaults to begin."""
     begin, end = _place(header, BEGIN), _place(header, END)
     begin = 0 if begin is None else begin
+    values = fields(line, keep_empty)
+    first = values[begin].strip() if begin < len(values) else ""
+    if not first:
+        return None
+    last = values[end].strip() if end is not None and end < len(values) else ""
+    return {"begin_bates": first, "end_bates": last or first, "values": dict(zip(header, values))}
+
+
+def records(content: bytes, keep_empty: bool = False) -> Iterator[dict]:
+    """The records of a file's content, with their line."""
+    lines = [x for x in content.split(b"\n") if x.strip()]
+    header = fields(lines[0], keep_empty) if lines else []
     for number, line in enumerate(lines[1:], 1):
-        values = fields(line, keep_empty)
-        first = values[begin].strip() if begin < len(values) else ""
-        if first:
-            last = values[end].strip() if end is not None and end < len(values) else ""
-            yield {"line": number, "begin_bates": first, "end_bates": last or first, "values": dict(zip(header, values))}
+        if found := record(header, line, keep_empty):
+            yield {"line": number, **found}
+
+
+_DAT = "path string, line long, begin_bates string, end_bates string, values map<string,string>"
+#: Files whose headers travel with the tasks.
+MOST_FILES = 100_000
 
 
 def read_dat(spark: SparkSession, path: str, keep_empty: bool = False) -> DataFrame:
-    """(path, line, begin_bates, end_bates, values map) of DAT files; a file is read by one task."""
+    """(path, line, begin_bates, end_bates, values map) of DAT files.  Files are read in splits; ``line`` grows along a file but is not dense."""
+    meta = F.col("_metadata")
+    raw = F.col("value").cast("binary")  # lines keep their bytes, whatever their encoding
+    lines = spark.read.option("lineSep", "\n").text(path).select(meta["file_path"].alias("path"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("line"), raw.alias("raw"))
+    lines = lines.filter(~F.col("raw").cast("string").rlike(r"^\s*$"))
+    heads = lines.filter("start = 0").groupBy("path").agg(F.min_by("raw", "line").alias("raw"), F.min("line").alias("line")).limit(MOST_FILES + 1).collect()
+    if len(heads) > MOST_FILES:
+        return dat_records(spark.read.format("binaryFile").load(path).select("path", "content"), keep_empty)
+    first = {r["path"]: (int(r["line"]), fields(bytes(r["raw"]), keep_empty)) for r in heads}
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for p, start, line, data in zip(b["path"], b["start"], b["line"], b["raw"]):
+                at, header = first[p]
+                if (start or line > at) and (found := record(header, bytes(data), keep_empty)):
+                    rows.append({"path": p, "line": line, **found})
+            yield pd.DataFrame(rows, columns=["path", "line", "begin_bates", "end_bates", "values"])
 
-    return dat_records(spark.read.format("binaryFile").load(path).select("path", "content"), keep_empty)
+    return lines.mapInPandas(parse, _DAT)
 
 
 def dat_records(files: DataFrame, keep_empty: bool = False) -> DataFrame:
-    """``read_dat`` of (path, content) rows."""
+    """``read_dat`` of (path, content) rows, a file at a time; ``line`` counts its records."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -65,7 +92,7 @@ def dat_records(files: DataFrame, keep_empty: bool = False) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows)
 
-    return files.mapInPandas(parse, "path string, line long, begin_bates string, end_bates string, values map<string,string>")
+    return files.mapInPandas(parse, _DAT)
 
 
 def read_opt(lines: DataFrame) -> DataFrame:

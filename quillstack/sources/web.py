@@ -36,10 +36,42 @@ def http_payload(block: bytes) -> tuple[int | None, str | None, bytes]:
     return int(status[1]) if status else None, kind[1].strip().decode("latin-1").lower() if kind else None, body
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(path, type, url, status, mime_type, body, at) of all records; a file is read by one task."""
+#: What stands between two records, up to the version's last digit.
+BETWEEN = "\r\n\r\nWARC/1."
+_WARC = "path string, type string, url string, status int, mime_type string, body binary, at string"
 
-    return warc_rows(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+def _row(path: str, headers: dict[str, str], block: bytes) -> tuple:
+    status, kind, body = http_payload(block) if headers.get("warc-type") == "response" else (None, None, b"")
+    return path, headers.get("warc-type"), (headers.get("warc-target-uri") or "").strip("<>") or None, status, kind, body, headers.get("warc-date")
+
+
+def read_warc(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """(path, type, url, status, mime_type, body, at) of all records.
+
+    Records are read as lines, so plain files in splits and compressed ones a
+    record at a time.  A record that holds another WARC file's border is cut
+    there: it comes out with type ``truncated``, and ``whole`` reads such files,
+    one a task.
+    """
+    if whole:
+        return warc_rows(spark.read.format("binaryFile").load(path).select("path", "content"))
+    lines = spark.read.option("lineSep", BETWEEN).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("raw"))
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for p, raw in zip(b["path"], b["raw"]):
+                raw = bytes(raw)
+                data = raw if raw.startswith(b"WARC/") else b"WARC/1." + raw
+                for headers, block in warc_records(data):
+                    if len(block) < int(headers.get("content-length", 0)):
+                        headers = headers | {"warc-type": "truncated"}
+                    rows.append(_row(p, headers, block))
+                    break
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _WARC.split(", ")])
+
+    return lines.mapInPandas(parse, _WARC)
 
 
 def warc_rows(files: DataFrame) -> DataFrame:
@@ -51,15 +83,14 @@ def warc_rows(files: DataFrame) -> DataFrame:
             for p, content in zip(b["path"], b["content"]):
                 rows, held = [], 0
                 for h, block in warc_records(content):
-                    status, kind, body = http_payload(block) if h.get("warc-type") == "response" else (None, None, b"")
-                    rows.append((p, h.get("warc-type"), (h.get("warc-target-uri") or "").strip("<>") or None, status, kind, body, h.get("warc-date")))
-                    held += len(body)
+                    rows.append(_row(p, h, block))
+                    held += len(block)
                     if held > FRAME:
                         yield pd.DataFrame(rows, columns=columns)
                         rows, held = [], 0
                 yield pd.DataFrame(rows, columns=columns)
 
-    return files.mapInPandas(parse, "path string, type string, url string, status int, mime_type string, body binary, at string")
+    return files.mapInPandas(parse, _WARC)
 
 
 def warc_reason(pattern: str | None = None) -> Column:

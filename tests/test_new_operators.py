@@ -69,3 +69,33 @@ def test_regions_of_one_name_count_together(spark):
     points = spark.createDataFrame([("a", 0.5, 0.5), ("b", 0.5, 5.5), ("c", 0.5, 3.0), ("d", None, None)], "document_id string, latitude double, longitude double")
     assert {r["document_id"] for r in geo.in_region(points, regions, "TWIN").collect()} == {"a", "b"}
     assert geo.in_region(points, regions, "none").collect() == []
+
+
+def test_files_read_in_splits(spark, tmp_path):
+    """DAT and WARC files in splits far smaller than they are give the rows of the whole-file readers."""
+    from test_sources import _record
+
+    from quillstack.sources import loadfiles, web
+
+    q, sep = b"\xfe", b"\x14"
+    cell = lambda x: q + x + q
+    for k in range(2):
+        rows = [cell(b"Begin Bates") + sep + cell(b"N%d" % k)] + [cell(b"A%d-%d" % (k, i)) + sep + cell(b"caf\xe9" * (i % 40)) for i in range(500)] + [b"", cell(b"") + sep]
+        (tmp_path / f"{k}.dat").write_bytes(b"\r\n".join(rows))
+    answer = lambda i: b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + b"body \xff\r\n\r\nmore " * i
+    (tmp_path / "a.warc").write_bytes(b"".join(_record("response", f"https://a.org/{i}", answer(i % 50)) for i in range(300)))
+    inner = _record("response", "https://inner.org/", b"HTTP/1.1 200 OK\r\n\r\nx")
+    (tmp_path / "n.warc").write_bytes(_record("response", "https://a.org/n", b"HTTP/1.1 200 OK\r\n\r\n" + inner + inner) + inner)
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        dat = loadfiles.read_dat(spark, f"{tmp_path}/*.dat")
+        assert dat.rdd.getNumPartitions() > 4
+        files = spark.read.format("binaryFile").load(f"{tmp_path}/*.dat").select("path", "content")
+        plain = lambda f: sorted((r["begin_bates"], r["end_bates"], sorted(r["values"].items())) for r in f.collect())
+        assert plain(dat) == plain(loadfiles.dat_records(files)) and dat.count() == 1000
+        warc = lambda f, **k: sorted((r["url"], r["type"], r["status"], bytes(r["body"])) for r in web.read_warc(spark, f"{tmp_path}/{f}", **k).collect())
+        assert warc("a.warc") == warc("a.warc", whole=True) and len(warc("a.warc")) == 300
+        assert "truncated" in {r[1] for r in warc("n.warc")} and {r[1] for r in warc("n.warc", whole=True)} == {"response"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
