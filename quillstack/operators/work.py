@@ -190,3 +190,10 @@ def changed_since(urls: DataFrame, heads: DataFrame) -> DataFrame:
     """Of ``urls`` (url, last_modified) those whose ``heads`` (url, last_modified) say another time, or none."""
     new = heads.select("url", F.col("last_modified").alias("__new"))
     return urls.join(new, "url").filter(F.col("__new").isNull() | ~F.col("__new").eqNullSafe(F.col("last_modified"))).drop("__new")
+
+
+def start_jobs(jobs: DataFrame, wanted: DataFrame, now: int) -> DataFrame:
+    """``wanted`` (name) with ``accepted``: no job of that name runs; the accepted ones are started as of ``now``."""
+    running = jobs.filter("status = 'running'").select("name").distinct().withColumn("__busy", F.lit(True))
+    asked = wanted.select("name").distinct().join(running, "name", "left").withColumn("accepted", F.col("__busy").isNull())
+    return asked.select("name", "accepted", F.when(F.col("accepted"), F.lit(now)).cast("long").alias("started"))

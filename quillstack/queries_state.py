@@ -15,7 +15,7 @@ from .plans import views
 from .plans.views import ANCHOR
 from .queries import query
 from .session import read
-from .sources import progress
+from .sources import api, progress
 from .streaming import rate_limit
 
 # Crawl URLs
@@ -424,3 +424,28 @@ def archive_snapshots(spark, d):
     docs = views.documents(spark, d).select(F.col("id").alias("document_id"), F.col("source_url").alias("url"))
     held = views.versions(spark, d).join(docs, "document_id").select("url", F.col("content_hash").alias("digest"), F.col("acquired").alias("captured"))
     return versions.merged({"a": progress.TableArchive("a", held).snapshots(docs)}).select("url", "digest", "captured").distinct()
+
+
+_LATE = "SELECT CAST(user_id AS VARCHAR) AS name, CASE WHEN max(event_id) % 2 = 0 THEN 'running' ELSE 'done' END AS status FROM events GROUP BY 1"
+
+
+@query(f"SELECT name, status <> 'running' AS accepted, CASE WHEN status <> 'running' THEN {ANCHOR} ELSE 0 END AS started FROM ({_LATE}) UNION ALL SELECT 'new', true, {ANCHOR}")
+def started_jobs(spark, d):
+    """A job starts only if none of its name runs."""
+    jobs = read(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("name")).agg(F.when(F.max("event_id") % 2 == 0, "running").otherwise("done").alias("status"))
+    out = work.start_jobs(jobs, jobs.select("name").unionByName(spark.createDataFrame([("new",), ("new",)], "name string")), ANCHOR)
+    return out.select("name", "accepted", F.coalesce("started", F.lit(0)).alias("started"))
+
+
+def _answer(url: str) -> tuple[int, str | None, bytes]:
+    kind = len(url) % 4
+    if kind == 3:
+        raise OSError("no route")
+    return (200, "text/html", url.encode()) if kind == 0 else (304, None, b"") if kind == 1 else (200, None, b"")
+
+
+@query("SELECT status, count(*) AS n, CAST(sum(CAST(now AS INTEGER)) AS BIGINT) AS now FROM (SELECT CASE WHEN c.url IS NULL THEN status WHEN length(u.url) % 4 = 0 THEN 'fetched' WHEN length(u.url) % 4 = 1 THEN 'skipped' ELSE 'failed' END AS status, c.url IS NOT NULL AND length(u.url) % 4 = 0 AS now FROM v_crawl u LEFT JOIN (SELECT DISTINCT url FROM (SELECT url FROM v_crawl WHERE status = 'discovered' ORDER BY depth, discovered, id LIMIT 40)) c ON c.url = u.url) GROUP BY 1")
+def scraped_urls(spark, d):
+    """The next 40 URLs fetched: with content, unchanged, empty, and failed requests."""
+    _, after = api.scrape(views.crawl_urls(spark, d), _answer, ANCHOR, 40)
+    return after.groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("fetched") == ANCHOR, F.lit(False))).alias("now"))

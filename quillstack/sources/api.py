@@ -10,6 +10,9 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
+from pyspark.sql import DataFrame
+
 MOST_SITEMAPS = 100
 Fetch = Callable[[str, dict], object]
 
@@ -106,3 +109,29 @@ def pick_browser(healthy: list[str], domain: str, strategy: str = "per_domain",
         return None
     place = turn if strategy == "round_robin" else sum(domain.encode()) * 2654435761
     return sorted(healthy)[place % len(healthy)]
+
+
+def fetch_all(urls: DataFrame, fetch: Callable[[str], tuple[int, str | None, bytes]]) -> DataFrame:
+    """(url, status, mime_type, size, body, error) of ``fetch(url)`` for every URL, in as many tasks as there are partitions; errors are rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for url in b["url"]:
+                try:
+                    status, kind, body = fetch(url)
+                    out.append((url, status, kind, len(body), body, None))
+                except Exception as e:  # a failed request is a row with its error
+                    out.append((url, 0, None, 0, None, f"{type(e).__name__}: {e}"[:200]))
+            yield pd.DataFrame(out, columns=["url", "status", "mime_type", "size", "body", "error"])
+
+    return urls.select("url").mapInPandas(run, "url string, status int, mime_type string, size long, body binary, error string")
+
+
+def scrape(frontier: DataFrame, fetch: Callable[[str], tuple[int, str | None, bytes]], now: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Answers for the next ``most`` discovered URLs, and the frontier after them."""
+    from ..operators import crawl, work
+
+    claimed = work.claim_urls(frontier, most)
+    answers = crawl.checkpointed(fetch_all(claimed, fetch).dropDuplicates(["url"]))
+    return answers, work.fetched(frontier, answers, now)
