@@ -26,17 +26,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Let shuffle files go as soon as their query has ended.
-_CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled")
+#: Let shuffle files go as soon as their query has ended, and hand Python few rows at once: rows may hold whole texts or sets.
+_TIDY = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+}
 
 
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    """Inside, queries drop their shuffle files when they end: rounds that ``cut`` their results need them no longer.  The session's settings come back after it."""
-    held = {k: spark.conf.get(k, None) for k in _CLEANUP}
+    """Inside, queries drop their shuffle files when they end, as rounds that ``cut`` their results need them no longer, and hand Python small batches.  The session's settings come back after it."""
+    held = {k: spark.conf.get(k, None) for k in _TIDY}
     try:
-        for k in _CLEANUP:
-            spark.conf.set(k, "true")
+        for k, v in _TIDY.items():
+            spark.conf.set(k, v)
         yield
     finally:
         for k, v in held.items():
