@@ -88,7 +88,7 @@ def test_small_and_capped_sources_meet_their_targets(spark, monkeypatch):
     docs = [(i, "w " * (7 + i % 5), "a") for i in range(3)] + [(100 + i, "w " * (i % 50), "b") for i in range(90)] + [(300 + i, "w " * 900, "c") for i in range(60)] + [(500, "w " * 40, None)]
     rows = m.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
     sizes, taken, want = check(rows)
-    assert all(abs(taken[s] - want[s]) <= (0.5 if want[s] < m.BLOCK * (m.FEW - 1) else m.BLOCK / 2 + 0.5) for s in want), (taken, want)
+    assert all(abs(taken[s] - want[s]) <= (0.5 if want[s] < m.BLOCK * (m.FEW - 1) else m.BLOCK) for s in want), (taken, want)
     assert want["b"] == 3 * sizes["b"] == pytest.approx(taken["b"], abs=m.BLOCK)
 
 
