@@ -64,21 +64,21 @@ def test_names(spark):
 
 
 def test_terms(spark):
-    assert one(spark, terms.terms(F.col("x")), x="FBI FOIA Documents, Reports | Investigations 2024") == ["fbi", "foia", "documents", "reports", "investigations"]
-    assert one(spark, terms.terms(F.col("x")), x="the, fbi, and, foia, a") == ["fbi", "foia"]
+    assert one(spark, terms.terms(F.col("x")), x="NASA Budget Memos; Audits | Inspections 1998") == ["nasa", "budget", "memos", "audits", "inspections"]
+    assert one(spark, terms.terms(F.col("x")), x="its, nasa, or, memo, an") == ["nasa", "memo"]
     assert one(spark, terms.tags(F.col("x")), x="Tags: [Alpha, beta!, , GAMMA]") == ["alpha", "beta", "gamma"]
 
 
 def test_entities(spark):
     found = lambda text: [(e["type"], e["text"]) for e in one(spark, entities.entities(F.col("x")), x=text)]
-    assert found("The CIA and FBI conducted a joint operation with the NSA.") == [("organization", "CIA"), ("organization", "FBI"), ("organization", "NSA")]
-    people = [x for k, x in found("Director Allen Dulles met with President John Kennedy.") if k == "person"]
-    assert {"Allen Dulles", "John Kennedy"} <= set(people)
-    numbers = [x for k, x in found("See document CIA-RDP96-00788R002100520004-9 and FOIA-2024-00123.") if k == "file_number"]
-    assert numbers == ["CIA-RDP96-00788R002100520004-9", "FOIA-2024-00123"]
-    assert ("file_number", "TOP SECRET//SCI") in found("This document is classified TOP SECRET//SCI.")
-    assert found("The CIA met the CIA and the CIA again.") == [("organization", "CIA")]
-    assert not [x for k, x in found("United States government operations.") if k == "person"]
+    assert found("An audit by the EPA went to the GAO, then to NASA.") == [("organization", "EPA"), ("organization", "GAO"), ("organization", "NASA")]
+    people = [x for k, x in found("Senator Ruth Calder wrote to Mayor Peter Lang.") if k == "person"]
+    assert {"Ruth Calder", "Peter Lang"} <= set(people)
+    numbers = [x for k, x in found("Kept under EPA-XY12-34567A8-1, asked for as FOIA-2019-00456.") if k == "file_number"]
+    assert numbers == ["EPA-XY12-34567A8-1", "FOIA-2019-00456"]
+    assert ("file_number", "TOP SECRET//SCI") in found("Page one bears TOP SECRET//SCI in red.")
+    assert found("From the GAO to the GAO, by way of the GAO.") == [("organization", "GAO")]
+    assert not [x for k, x in found("New York harbour, West Virginia mines.") if k == "person"]
     assert {x for k, x in found("In West Virginia and Area 51") if k == "location"} == {"West Virginia", "Virginia", "Area 51"}
     assert found(None) == []
 
