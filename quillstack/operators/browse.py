@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import mime
+from .crawl import checkpointed
 
 MOST_PER_PAGE = 200
 MOST_PAGES = 100_000
@@ -165,20 +166,26 @@ def search_tags(docs: DataFrame, text: str, most: int = 100) -> DataFrame:
     return docs.select(F.explode("tags").alias("tag")).filter(F.contains(F.lower("tag"), F.lit(text.lower()))).distinct().orderBy("tag").limit(most)
 
 
-def sample(frame: DataFrame, key: str, most: int = 10_000) -> DataFrame:
+def sample(frame: DataFrame, key: str | list[Column], most: int = 10_000) -> DataFrame:
     """Every k-th row in key order, about ``most`` of them, without a window over all rows.
 
     A sampling operator: rows are numbered by range partition, from the counts
-    of the partitions before.
+    of the partitions before.  Borders of range partitions are drawn anew in
+    every run, so the numbered rows are cut by checkpoint(), and counted and
+    taken from there.  ``key`` is a column or a list of sort orders; rows of
+    one key are in no fixed order.
     """
-    spread = frame.repartitionByRange(key).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id())
+    keys = [key] if isinstance(key, str) else key
+    spread = frame.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id())
+    spread = checkpointed(spread)
     counts = {r["__part"]: r["n"] for r in spread.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # one row per partition
-    total, start, before = sum(counts.values()), {}, 0
-    for part in sorted(counts):
-        start[part], before = before, before + counts[part]
+    total = sum(counts.values())
     step = max(1, -(-total // most))
-    if not start:
+    if not counts:
         return frame.limit(0)
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in start.items() for x in kv]), F.col("__part"))
-    place = offset + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    starts, before = [], 0
+    for part in range(max(counts) + 1):
+        starts.append(before)
+        before += counts.get(part, 0)
+    place = F.get(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("__part")) + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
     return spread.filter(place % step == 0).drop("__part", "__place")

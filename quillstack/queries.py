@@ -645,8 +645,7 @@ def needing_date_estimation(spark, d):
 
 @query("SELECT page_id, url FROM (SELECT page_id, url, row_number() OVER (ORDER BY url, page_id) AS r, count(*) OVER () AS n FROM pages) WHERE (r - 1) % CAST(ceil(n / 20) AS BIGINT) = 0")
 def url_sample(spark, d):
-    frame = read(spark, d, "pages").select(F.concat("url", F.lit(" "), F.lpad(F.col("page_id").cast("string"), 12, "0")).alias("key"), "page_id", "url")
-    return browse.sample(frame, "key", 20).select("page_id", "url")
+    return browse.sample(read(spark, d, "pages").select("page_id", "url"), [F.col("url").asc_nulls_last(), F.col("page_id").asc_nulls_last()], 20)
 
 
 @query("SELECT document_id, entity_type, normalized_text FROM v_entities WHERE document_id = '5'")
