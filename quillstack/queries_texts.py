@@ -397,6 +397,11 @@ def zip_members(spark, d):
     return found.select("document_id", "filename", "mime_type", "file_size", F.col("content").cast("string").alias("text"))
 
 
+def _spread(spark, frame):
+    """``frame`` dealt out anew: a file of short rows is one partition, but each row may become a costly file."""
+    return frame.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _mails(spark, d):
     key = F.col("c_custkey").cast("string")
     head = F.concat(F.lit("Subject: Case "), key, F.lit("\r\nFrom: a@b.org\r\nTo: c@d.org\r\nDate: Mon, 06 May 2019 07:00:00 +0000\r\nMIME-Version: 1.0\r\n"))
@@ -405,7 +410,8 @@ def _mails(spark, d):
     part = F.lit('\r\nContent-Type: application/octet-stream\r\nContent-Disposition: attachment; filename="')
     mixed = F.concat(head, F.lit('Content-Type: multipart/mixed; boundary="B"\r\n\r\n--B\r\nContent-Type: text/plain\r\n\r\nHello '), "c_name", F.lit("\r\n--B"), part, key, F.lit('.pdf"\r\n\r\ndata'), key, F.lit("\r\n--B--\r\n"))
     k = F.col("c_custkey") % 3
-    return read(spark, d, "customer").select(key.alias("document_id"), F.when(k == 0, plain).when(k == 1, page).otherwise(mixed).cast("binary").alias("content"))
+    rows = _spread(spark, read(spark, d, "customer").select("c_custkey", "c_name"))
+    return rows.select(key.alias("document_id"), F.when(k == 0, plain).when(k == 1, page).otherwise(mixed).cast("binary").alias("content"))
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS document_id, 'Case ' || c_custkey AS subject, 'a@b.org' AS sender, 'Hello ' || c_name AS body, CASE WHEN c_custkey % 3 = 2 THEN c_custkey || '.pdf' ELSE '' END AS files, CAST(4 AS BIGINT) AS headers FROM customer")
