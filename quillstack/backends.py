@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import entities, mime, urls
 
@@ -72,11 +73,69 @@ def best_page(pdf: Column, ocr: Column) -> Column:
     return F.when(size(ocr) > size(pdf) + F.floor(size(pdf) / 5), ocr).otherwise(pdf)
 
 
+def _common(a: str, b: str, at_end: bool = False) -> int:
+    """Characters that both begin, or end, with; by bisection."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        same = a.endswith(b[len(b) - mid :]) if at_end else a.startswith(b[:mid])
+        lo, hi = (mid, hi) if same else (lo, mid - 1)
+    return lo
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance in code points, a column of the table at a time in the bits of a number (Myers, Hyyrö)."""
+    n = _common(a, b)
+    a, b = a[n:], b[n:]
+    n = _common(a, b, True)
+    a, b = a[: len(a) - n], b[: len(b) - n]
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    places: dict[str, bytearray] = {}
+    wanted = set(b)
+    for i, c in enumerate(a):
+        if c in wanted:
+            places.setdefault(c, bytearray(len(a) // 8 + 1))[i >> 3] |= 1 << (i & 7)
+    at = {c: int.from_bytes(bits, "little") for c, bits in places.items()}
+    mask, last, score = (1 << len(a)) - 1, len(a) - 1, len(a)
+    up, down = mask, 0  # where a column's value is one more, or one less, than the one above it
+    for c in b:
+        eq = at.get(c, 0)
+        diagonal = eq | down
+        level = ((((eq & up) + up) ^ up) | eq) & mask
+        more, less = down | ((level | up) ^ mask), up & level
+        score += (more >> last) - (less >> last)
+        more, less = (more << 1 | 1) & mask, (less << 1) & mask
+        up, down = less | ((diagonal | more) ^ mask), more & diagonal
+    return score
+
+
+#: Pairs of at most so many characters times characters take the built-in distance, whose time grows with that product.
+_SMALL = 4096
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance; only long texts of which neither begins or ends the other go through Python."""
+
+    @F.pandas_udf("int")
+    def hard_ones(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else edit_distance(p, q) for p, q in zip(x, y)], dtype="Int32")
+
+    longer, shorter = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
+    inside = F.startswith(a, b) | F.startswith(b, a) | F.endswith(a, b) | F.endswith(b, a)
+    small = longer.cast("long") * shorter <= _SMALL
+    hard = ~inside & ~small
+    return F.when(inside, longer - shorter).when(small, F.levenshtein(a, b)).otherwise(hard_ones(F.when(hard, a), F.when(hard, b)))
+
+
 def compare(results: DataFrame) -> DataFrame:
-    """Backends' texts of a page side by side: characters, words and edit distance to the first by name."""
+    """Backends' texts of a page side by side: characters, words and edit distance to the first by name; of several texts of that name, to the least."""
     size = F.length("text")
-    first = results.groupBy("page_id").agg(F.min_by("text", "backend").alias("base"))
-    return results.join(first, "page_id").select("page_id", "backend", size.alias("chars"), F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("words"), F.levenshtein("text", "base").alias("distance"))
+    first = F.min(F.when(F.col("backend").isNotNull(), F.struct("backend", "text"))).over(Window.partitionBy("page_id"))
+    based = results.filter("page_id IS NOT NULL").withColumn("base", first["text"])
+    return based.select("page_id", "backend", size.alias("chars"), F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("words"), distance(F.col("text"), F.col("base")).alias("distance"))
 
 
 def annotate_entities(docs: DataFrame) -> DataFrame:
