@@ -13,13 +13,19 @@ or more, shingles being told apart by 48 bits of their hash.
 
 No bucket is expanded into all its pairs.  Inside a bucket every text is first
 compared with one centre, twice with different centres; texts that are then in
-one component need no further comparison.  Only pairs of texts still in
-different components are compared directly: in buckets of up to ``DIRECT`` texts
-as pairs, each in its first common bucket, in larger buckets block against
-block inside a task, which gives out only links that join components.  So no
-link between components is lost and no group's pairs are written anywhere; the
-comparisons in a bucket whose texts stay apart still grow with its square.  Components come from alternating min-label
-contraction, each round cut by checkpoint().
+one component need no further comparison.  In a bucket of more than ``DIRECT``
+texts a text can only link to another component if it has enough shingles that
+occur in another component at all; texts with fewer leave the bucket, and what
+stays is compared with a third centre, the text with most such shingles.  Only
+pairs of texts still in different components are compared directly: in buckets
+of up to ``DIRECT`` texts as pairs, each in its first common bucket, in larger
+buckets block against block inside a task, which gives out only links that join
+components.  The largest component of a bucket is never compared with itself,
+so a block of it is a row for each block of the bucket's other texts, not for
+each of its own.  So no link between components is lost and no group's pairs are
+written anywhere; only where many texts of a bucket share most shingles and yet
+stay apart do comparisons grow with its square.  Components come from
+alternating min-label contraction, each round cut by checkpoint().
 
 Defined cases: a null, empty or blank text is in a class by itself.  A text of
 fewer than five words has one shingle, all its words.  Repeated rows of one id
@@ -51,6 +57,10 @@ DIRECT = 64
 BLOCK = 256
 #: A block of texts holds about so many bytes of shingles at most, one text at least.
 BLOCK_BYTES = 1 << 25
+#: Shingles of large buckets are told apart by 2**SLOTS hash slots at most, merged in ranges of 2**RANGE slots, FAN parts at a time.
+SLOTS = 24
+RANGE = 18
+FAN = 8
 _LOWEST = -4  # the lowest rank cell is [0, 2**-4)
 _UNIT = float(2**53)
 
@@ -290,13 +300,116 @@ def near_links(texts: DataFrame, bands: DataFrame, least: float = SIMILARITY) ->
         links = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = cut(components(links))
     left = cut(_open(_labelled(members, labels)))
-    sizes = left.groupBy("key").agg(F.count("*").alias("size"))
-    few = left.join(sizes.filter(F.col("size") <= DIRECT).select("key"), "key").join(bands, "doc_id")
-    many = left.join(sizes.filter(F.col("size") > DIRECT), "key")
+    few, many = _by_size(left)
+    many = cut(_linkable(cut(many), sets, least))
+    centres = cut(many.groupBy("key").agg(F.max(F.struct(F.col("shared") / F.col("size"), "doc_id", "label")).alias("c")))
+    pairs = many.join(centres, "key").filter("label <> c.label").select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
+    links = _verified(cut(pairs), sets, least).unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    labels = cut(components(links))
+    many = cut(_open(_labelled(many.select("key", "doc_id"), labels)))
+    many = cut(_linkable(many, sets, least))
+    few = _open(_labelled(few.select("key", "doc_id"), labels))
+    fewer, many = _by_size(many)
+    few = few.select("key", "doc_id", "label").unionByName(fewer.select("key", "doc_id", "label")).join(bands, "doc_id")
     last = cut(_verified(cut(_cross(few)), sets, least).unionByName(_blockwise(many, sets, least)))
     return last.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
 
 
+def _by_size(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of buckets of at most DIRECT texts, and of larger ones."""
+    large = cut(members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > DIRECT).select("key"))
+    return members.join(large, "key", "left_anti"), members.join(large, "key", "left_semi")
+
+
+def _linkable(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``rows`` (key, doc_id, label) of open buckets with size and shared, without those that cannot link to another component of their bucket.
+
+    ``shared`` is at least the number of the text's shingles that texts of other
+    components hold, so at least what it has in common with any of them; a link
+    needs ``least / (1 + least)`` of both sizes together.
+    """
+    held = cut(rows.select("doc_id", "label").distinct().join(sets, "doc_id").select("doc_id", F.xxhash64("label").alias("mark"), "shingles"))
+    count, total = held.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("shingles")), F.lit(0))).first()
+    bits = min(SLOTS, max(RANGE, int(total // 4).bit_length()))
+    marks = held.sparkSession.sparkContext.broadcast(_marks(sized(held, count, 2000), bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slots = [_slots(np.frombuffer(x, np.uint64), bits) for x in b.column(1).to_pylist()]
+            shared = [int((marks.value[x >> 3] >> (x & 7).astype(np.uint8) & 1).sum()) for x in slots]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in slots], pa.int64()), pa.array(shared, pa.int64())], names=["doc_id", "size", "shared"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    shares = cut(held.select("doc_id", "shingles").mapInArrow(run, f"doc_id {kind}, size long, shared long"))
+    known = cut(rows.select("key", "doc_id", "label").join(shares, "doc_id"))
+    smallest = cut(known.groupBy("key").agg(F.min("size").alias("smallest")))
+    need = least / (1 + least) * (F.col("size") + F.greatest(F.col("smallest"), least * F.col("size")))
+    return _open(cut(known.join(smallest, "key").filter(F.col("shared") >= need - 1e-6).drop("smallest")))
+
+
+def _slots(items: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(items) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _ends(slot: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each slot once, with the least of its lows and the greatest of its highs."""
+    if not len(slot):
+        return slot, low, high
+    order = np.argsort(slot, kind="stable")
+    slot = slot[order]
+    at = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+    return slot[at], np.minimum.reduceat(low[order], at), np.maximum.reduceat(high[order], at)
+
+
+def _marks(texts: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of the slots that shingles of more than one component fall in; ``texts`` has (mark, shingles), mark a hash of the component.
+
+    Parts of a range of slots are merged in a tree; the bitmap has 2**bits bits.
+    """
+
+    def rows(slot: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        edges = np.searchsorted(slot, np.arange(0, (1 << bits) + 1, 1 << RANGE))
+        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+            if b > a:
+                yield i, np.stack((slot[a:b], low[a:b], high[a:b])).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held = (np.zeros(0, np.int64),) * 3
+        for b in batches:
+            items = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
+            if items:
+                mark = np.repeat(b.column(0).to_numpy(), [len(x) for x in items])
+                new = (_slots(np.concatenate(items), bits), mark, mark)
+                held = _ends(*(np.concatenate(x) for x in zip(held, new)))
+        for i, raw in rows(*held):
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([i], pa.int64()), pa.array([raw], pa.binary())], names=["part", "range", "ends"])
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.frombuffer(x, np.int64).reshape(3, -1) for x in pdf["ends"]]
+        ends = np.stack(_ends(*np.concatenate(parts, axis=1))).tobytes()
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // FAN], "range": [int(pdf["range"].iloc[0])], "ends": [ends]})
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                slot, low, high = np.frombuffer(raw, np.int64).reshape(3, -1)
+                found = np.zeros(1 << RANGE, bool)
+                found[slot[low != high] - (i << RANGE)] = True
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([np.packbits(found, bitorder="little").tobytes()], pa.binary())], names=["range", "bits"])
+
+    schema = "part long, range long, ends binary"
+    now = cut(texts.select("mark", "shingles").mapInArrow(run, schema))
+    while now.agg(F.max("part")).first()[0]:
+        now = cut(now.groupBy("range", F.floor(F.col("part") / FAN).alias("g")).applyInPandas(merge, schema))
+    out = np.zeros(1 << bits - 3, np.uint8)
+    for r in now.select("range", "ends").mapInArrow(marked, "range long, bits binary").collect():  # 2**(SLOTS - RANGE) rows of 2**RANGE bits at most
+        at = r["range"] << RANGE - 3
+        out[at : at + (1 << RANGE - 3)] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def _open(members: DataFrame) -> DataFrame:
     """Members of buckets that still hold more than one component."""
     mixed = cut(members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"))
@@ -314,13 +427,22 @@ def _cross(left: DataFrame) -> DataFrame:
 def _blockwise(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Links between the components of large buckets, compared block against block.
 
-    A bucket's texts are dealt into blocks of about BLOCK; a task holds two
-    blocks and gives out links that tie its components together, never its
-    pairs.  ``rows`` has (key, doc_id, label, size).
+    A bucket's texts are dealt into blocks of about BLOCK, those of its largest
+    component apart from the others.  A task holds two blocks, one of them of
+    others, and gives out links that tie its components together, never its
+    pairs.  ``rows`` has (key, doc_id, label, size), size in shingles.
     """
-    heavy = rows.select("key", "doc_id").join(sets.select("doc_id", F.octet_length("shingles").alias("bytes")), "doc_id").groupBy("key").agg(F.sum("bytes").alias("bytes"))
-    n = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))
-    dealt = rows.join(cut(heavy), "key").withColumn("own", F.pmod(F.xxhash64("doc_id", "key"), n)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    sums = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    totals = F.max(F.struct("n", "label", "s")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s")
+    whole = cut(sums.groupBy("key").agg(*totals))
+    blocks = lambda n, s: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(s * 8 / BLOCK_BYTES)).cast("long")
+    plan = whole.select("key", F.col("main.label").alias("first"), blocks(F.col("main.n"), F.col("main.s")).alias("p"), blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("q"))
+    place = F.xxhash64("doc_id", "key")
+    own = F.when(F.col("label") == F.col("first"), F.pmod(place, "p")).otherwise(F.col("p") + F.pmod(place, "q"))
+    # a block of others is whole in each of its tasks, so it needs none for itself alone
+    all_blocks = F.sequence(F.lit(0).cast("long"), F.col("p") + F.col("q") - 1)
+    others = F.filter(all_blocks, lambda b: (b != F.col("own")) & ((b >= F.col("p")) | (F.col("own") >= F.col("p"))))
+    dealt = rows.join(plan, "key").withColumn("own", own).withColumn("other", F.explode(others))
     tasks = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "label").join(sets, "doc_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillstack.llm import near_dup as m
 
@@ -105,3 +106,58 @@ def test_whole_query_on_small_table(spark, data):
     out = m.op5_near_dup(spark, data).collect()
     assert {r["doc_id"]: r["class_id"] for r in out} == brute(rows)
     assert sum(1 / r["class_size"] for r in out) == pytest.approx(len({r["class_id"] for r in out}))
+
+
+def test_block_rows_of_a_large_bucket_do_not_grow_with_its_square(spark, monkeypatch):
+    """Texts apart from all others leave the bucket, and its largest component is a row for each block of the others."""
+    monkeypatch.setattr(m, "DIRECT", 4)
+    monkeypatch.setattr(m, "BLOCK", 8)
+    rng = random.Random(5)
+    rows = family(rng, 160, 0, [0, 1, 1, 2, 3, 4, 5, 6])
+    dealt, verified = [], m._blockwise
+
+    def blockwise(rows, sets, least):
+        dealt.append(rows.count())
+        return verified(rows, sets, least)
+
+    monkeypatch.setattr(m, "_blockwise", blockwise)
+    got = {r["doc_id"]: r["class_id"] for r in m.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert len(set(got.values())) > 20 and sum(dealt) == 0  # nothing is left to compare block against block
+
+
+def test_blocks_hold_every_pair_of_different_components_once_at_least(spark, monkeypatch):
+    monkeypatch.setattr(m, "BLOCK", 8)
+    labels = {i: 0 if i < 60 else i // 3 for i in range(90)}
+    rows = spark.createDataFrame([(7, i, n, 20) for i, n in labels.items()], "key long, doc_id long, label long, size long")
+    sets = spark.createDataFrame([(i, bytearray(np.arange(20, dtype=np.uint64).tobytes())) for i in labels], "doc_id long, shingles binary")
+    met, held = set(), []
+    group = type(rows.groupBy("key"))
+    apply = group.applyInPandas
+    monkeypatch.setattr(group, "applyInPandas", lambda self, f, schema: held.append(self._df) or apply(self, f, schema))
+    links = m._blockwise(rows, sets, 0.8).collect()
+    for r in held[0].groupBy("key", "i", "j").agg(F.collect_list("doc_id").alias("ids")).collect():
+        met |= {(a, b) for a in r["ids"] for b in r["ids"] if a < b}
+    assert all((a, b) in met for a in labels for b in labels if a < b and labels[a] != labels[b])
+    assert held[0].count() <= 60 * 4 + 30 * (8 + 4)
+    parent = {n: n for n in labels.values()}
+    for r in links:
+        x, y = labels[r["a"]], labels[r["b"]]
+        old, new = parent[x], parent[y]
+        parent = {k: new if v == old else v for k, v in parent.items()}
+    assert len(set(parent.values())) == 1  # equal texts: all components are tied
+
+
+@pytest.mark.parametrize("ranges, fan", [(18, 8), (6, 2)])
+def test_shared_shingles_are_never_counted_short(spark, monkeypatch, ranges, fan):
+    monkeypatch.setattr(m, "RANGE", ranges)
+    monkeypatch.setattr(m, "FAN", fan)
+    rng = np.random.default_rng(6)
+    sets = {i: np.unique(rng.integers(0, 900, 60).astype(np.uint64) << np.uint64(16)) for i in range(40)}
+    frame = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "doc_id long, shingles binary")
+    rows = spark.createDataFrame([(i % 2, i, i // 4) for i in sets], "key long, doc_id long, label long")
+    got = {r["doc_id"]: (r["size"], r["shared"]) for r in m._linkable(rows, frame.repartition(5), 0.01).collect()}
+    for i, x in sets.items():
+        there = set().union(*(set(y.tolist()) for j, y in sets.items() if j // 4 != i // 4))
+        least = sum(v in there for v in x.tolist())
+        assert got[i][0] == len(x) and least <= got[i][1] <= len(x)
