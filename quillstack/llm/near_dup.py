@@ -24,8 +24,9 @@ components.  The largest component of a bucket is never compared with itself,
 so a block of it is a row for each block of the bucket's other texts, not for
 each of its own.  So no link between components is lost and no group's pairs are
 written anywhere; only where many texts of a bucket share most shingles and yet
-stay apart do comparisons grow with its square.  Components come from
-alternating min-label contraction, each round cut by checkpoint().
+stay apart do comparisons grow with its square.  Components of few
+edges come from one task, others from alternating min-label contraction, each
+round cut by checkpoint().
 
 Defined cases: a null, empty or blank text is in a class by itself.  A text of
 fewer than five words has one shingle, all its words.  Repeated rows of one id
@@ -40,10 +41,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, lower_az, sized, table, tidy, words
+from ._spark import lower_az, packed, sized, table, tidy, words
 from ._text import mix, shingles, slices, unique_per_text, word_hashes
 
 SHINGLE = 5
@@ -61,6 +63,9 @@ BLOCK_BYTES = 1 << 25
 SLOTS = 24
 RANGE = 18
 FAN = 8
+#: Components of at most so many edges are found in one task, if ids are of these kinds; of more in rounds over all partitions.
+FEW_EDGES = 1 << 17
+_PLAIN = ("tinyint", "smallint", "int", "bigint", "string")
 _LOWEST = -4  # the lowest rank cell is [0, 2**-4)
 _UNIT = float(2**53)
 
@@ -253,13 +258,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of an undirected edge list (a, b): the least node of the component, for every other node of it.
 
-    Alternating large-star and small-star steps; a round's output is cut by
-    checkpoint().  Stars are aggregates and joins, so a hub's edges may be split.
+    Few edges are joined in one task.  Otherwise alternating large-star and
+    small-star steps; a round's output is cut by checkpoint().  Stars are
+    aggregates and joins, so a hub's edges may be split.
     """
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = packed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if before is None and sums[0] <= FEW_EDGES and now.schema["u"].dataType.simpleString() in _PLAIN:
+            return _joined(now)
         now = sized(now, sums[0])
         if before == sums or not sums[0]:
             return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
@@ -271,7 +279,36 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node's smaller neighbours and itself go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now = cut(small.filter("u <> v").distinct())
+        now = packed(small.filter("u <> v").distinct())
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """``components`` of edges (u, v), fresh from ``packed``, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        ends = pa.concat_arrays([b.column(i) for i in (0, 1) for b in held]).dictionary_encode()
+        order = pc.array_sort_indices(ends.dictionary)
+        nodes = ends.dictionary.take(order)
+        place = np.argsort(order.to_numpy())[ends.indices.to_numpy()].tolist()
+        parent = list(range(len(nodes)))
+        for x, y in zip(place[: len(place) // 2], place[len(place) // 2 :]):
+            x, y = _find(parent, x), _find(parent, y)
+            parent[max(x, y)] = min(x, y)
+        label = pa.array([_find(parent, x) for x in range(len(nodes))], pa.int64())
+        other = pc.not_equal(label, pa.array(np.arange(len(nodes))))
+        yield pa.RecordBatch.from_arrays([nodes.filter(other), nodes.take(label).filter(other)], names=["node", "label"])
+
+    kind = edges.schema["u"].dataType.simpleString()
+    return edges.coalesce(1).mapInArrow(run, f"node {kind}, label {kind}")
+
+
+def _find(parent, x):
+    while parent[x] != x:
+        parent[x] = x = parent[parent[x]]
+    return x
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -285,39 +322,39 @@ def near_links(texts: DataFrame, bands: DataFrame, least: float = SIMILARITY) ->
     (an id with several texts counts for each of them).
     """
     members = bands.select("doc_id", F.explode("keys").alias("key"))
-    # aggregates by key are cut before they are joined: both sides are then exchanged anew, and a large bucket may be split
-    shared = cut(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
-    members = cut(members.join(shared, "key").distinct())
-    sets = cut(_set_rows(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi")))
+    # aggregates by key are cut before they are joined: both sides of any size are then exchanged anew, and a large bucket may be split
+    shared = packed(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+    members = packed(members.join(shared, "key").distinct())
+    sets = packed(_set_rows(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi")))
     links = labels = None
     for salt in (1, 2):
-        open_members = members.withColumn("label", F.col("doc_id")) if labels is None else cut(_open(_labelled(members, labels)))
+        open_members = members.withColumn("label", F.col("doc_id")) if labels is None else packed(_open(_labelled(members, labels)))
         order = F.struct(F.xxhash64(F.lit(salt), "doc_id").alias("h"), "doc_id", "label")
-        centres = cut(open_members.groupBy("key").agg(F.min(order).alias("c")))
+        centres = packed(open_members.groupBy("key").agg(F.min(order).alias("c")))
         pairs = open_members.join(centres, "key").filter("label <> c.label").select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
-        found = cut(_verified(cut(pairs), sets, least))
+        found = packed(_verified(packed(pairs), sets, least))
         # the stars found so far stand for their links
         links = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = cut(components(links))
-    left = cut(_open(_labelled(members, labels)))
+        labels = packed(components(links))
+    left = packed(_open(_labelled(members, labels)))
     few, many = _by_size(left)
-    many = cut(_linkable(cut(many), sets, least))
-    centres = cut(many.groupBy("key").agg(F.max(F.struct(F.col("shared") / F.col("size"), "doc_id", "label")).alias("c")))
+    many = packed(_linkable(packed(many), sets, least))
+    centres = packed(many.groupBy("key").agg(F.max(F.struct(F.col("shared") / F.col("size"), "doc_id", "label")).alias("c")))
     pairs = many.join(centres, "key").filter("label <> c.label").select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
-    links = _verified(cut(pairs), sets, least).unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-    labels = cut(components(links))
-    many = cut(_open(_labelled(many.select("key", "doc_id"), labels)))
-    many = cut(_linkable(many, sets, least))
+    links = _verified(packed(pairs), sets, least).unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    labels = packed(components(links))
+    many = packed(_open(_labelled(many.select("key", "doc_id"), labels)))
+    many = packed(_linkable(many, sets, least))
     few = _open(_labelled(few.select("key", "doc_id"), labels))
     fewer, many = _by_size(many)
     few = few.select("key", "doc_id", "label").unionByName(fewer.select("key", "doc_id", "label")).join(bands, "doc_id")
-    last = cut(_verified(cut(_cross(few)), sets, least).unionByName(_blockwise(many, sets, least)))
+    last = packed(_verified(packed(_cross(few)), sets, least).unionByName(_blockwise(many, sets, least)))
     return last.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
 
 
 def _by_size(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members of buckets of at most DIRECT texts, and of larger ones."""
-    large = cut(members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > DIRECT).select("key"))
+    large = packed(members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > DIRECT).select("key"))
     return members.join(large, "key", "left_anti"), members.join(large, "key", "left_semi")
 
 
@@ -328,7 +365,7 @@ def _linkable(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     components hold, so at least what it has in common with any of them; a link
     needs ``least / (1 + least)`` of both sizes together.
     """
-    held = cut(rows.select("doc_id", "label").distinct().join(sets, "doc_id").select("doc_id", F.xxhash64("label").alias("mark"), "shingles"))
+    held = packed(rows.select("doc_id", "label").distinct().join(sets, "doc_id").select("doc_id", F.xxhash64("label").alias("mark"), "shingles"))
     count, total = held.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("shingles")), F.lit(0))).first()
     bits = min(SLOTS, max(RANGE, int(total // 4).bit_length()))
     marks = held.sparkSession.sparkContext.broadcast(_marks(sized(held, count, 2000), bits))
@@ -340,11 +377,11 @@ def _linkable(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in slots], pa.int64()), pa.array(shared, pa.int64())], names=["doc_id", "size", "shared"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    shares = cut(held.select("doc_id", "shingles").mapInArrow(run, f"doc_id {kind}, size long, shared long"))
-    known = cut(rows.select("key", "doc_id", "label").join(shares, "doc_id"))
-    smallest = cut(known.groupBy("key").agg(F.min("size").alias("smallest")))
+    shares = packed(held.select("doc_id", "shingles").mapInArrow(run, f"doc_id {kind}, size long, shared long"))
+    known = packed(rows.select("key", "doc_id", "label").join(shares, "doc_id"))
+    smallest = packed(known.groupBy("key").agg(F.min("size").alias("smallest")))
     need = least / (1 + least) * (F.col("size") + F.greatest(F.col("smallest"), least * F.col("size")))
-    return _open(cut(known.join(smallest, "key").filter(F.col("shared") >= need - 1e-6).drop("smallest")))
+    return _open(packed(known.join(smallest, "key").filter(F.col("shared") >= need - 1e-6).drop("smallest")))
 
 
 def _slots(items: np.ndarray, bits: int) -> np.ndarray:
@@ -400,9 +437,9 @@ def _marks(texts: DataFrame, bits: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([np.packbits(found, bitorder="little").tobytes()], pa.binary())], names=["range", "bits"])
 
     schema = "part long, range long, ends binary"
-    now = cut(texts.select("mark", "shingles").mapInArrow(run, schema))
+    now = packed(texts.select("mark", "shingles").mapInArrow(run, schema))
     while now.agg(F.max("part")).first()[0]:
-        now = cut(now.groupBy("range", F.floor(F.col("part") / FAN).alias("g")).applyInPandas(merge, schema))
+        now = packed(now.groupBy("range", F.floor(F.col("part") / FAN).alias("g")).applyInPandas(merge, schema))
     out = np.zeros(1 << bits - 3, np.uint8)
     for r in now.select("range", "ends").mapInArrow(marked, "range long, bits binary").collect():  # 2**(SLOTS - RANGE) rows of 2**RANGE bits at most
         at = r["range"] << RANGE - 3
@@ -412,7 +449,7 @@ def _marks(texts: DataFrame, bits: int) -> np.ndarray:
 
 def _open(members: DataFrame) -> DataFrame:
     """Members of buckets that still hold more than one component."""
-    mixed = cut(members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"))
+    mixed = packed(members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"))
     return members.join(mixed, "key")
 
 
@@ -434,7 +471,7 @@ def _blockwise(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """
     sums = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     totals = F.max(F.struct("n", "label", "s")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s")
-    whole = cut(sums.groupBy("key").agg(*totals))
+    whole = packed(sums.groupBy("key").agg(*totals))
     blocks = lambda n, s: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(s * 8 / BLOCK_BYTES)).cast("long")
     plan = whole.select("key", F.col("main.label").alias("first"), blocks(F.col("main.n"), F.col("main.s")).alias("p"), blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("q"))
     place = F.xxhash64("doc_id", "key")
@@ -475,15 +512,9 @@ def spanning_links(sets: list[np.ndarray], labels: np.ndarray, least: float) ->
     near = common >= least * (size[:, None] + size[None, :] - common) - 1e-6
     near &= labels[:, None] != labels[None, :]
     parent = {x: x for x in labels.tolist()}
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
     out = []
     for i, j in zip(*np.nonzero(np.triu(near, 1))):
-        x, y = find(labels[i].item()), find(labels[j].item())
+        x, y = _find(parent, labels[i].item()), _find(parent, labels[j].item())
         if x != y:
             parent[x] = y
             out.append((i, j))
@@ -498,8 +529,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def _classes(docs: DataFrame, least: float) -> DataFrame:
-    keyed = cut(signed(docs))
-    texts = cut(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"), F.count("*").alias("n")))
+    keyed = packed(signed(docs))
+    texts = packed(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"), F.count("*").alias("n")))
     # a text that occurs once needs no join: its group row is the answer
     once = texts.filter("n = 1").select(F.col("rep").alias("doc_id"), "rep")
     many = keyed.select("doc_id", "k1", "k2").join(texts.filter("n > 1").select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep")
@@ -507,16 +538,16 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     same = once.unionByName(many)
     # an id with several texts ties their groups together
     ties = same.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
-    labels = cut(components(links.unionByName(ties))).select(F.col("node").alias("rep"), F.col("label").alias("class_id"))
+    labels = packed(components(links.unionByName(ties))).select(F.col("node").alias("rep"), F.col("label").alias("class_id"))
     return same.join(labels, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("class_id", "rep")).alias("class_id"))
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id (least id of the class), class_size of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = cut(docs.select("doc_id").join(classes(docs), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id")))
+    found = packed(docs.select("doc_id").join(classes(docs), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id")))
     # cut, so that both sides of the join are exchanged and a large class can be split
-    sizes = cut(found.groupBy("class_id").agg(F.count("*").alias("class_size")).filter("class_size > 1"))
+    sizes = packed(found.groupBy("class_id").agg(F.count("*").alias("class_size")).filter("class_size > 1"))
     many = found.join(sizes, "class_id", "left")
     return many.select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
@@ -524,9 +555,9 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row, of the least id, of each near-duplicate class; rows without an id are in no class, but of exact copies among them one stays."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    gone = cut(classes(docs).filter("doc_id <> class_id").select("doc_id"))
+    gone = packed(classes(docs).filter("doc_id <> class_id").select("doc_id"))
     named, unnamed = docs.filter("doc_id IS NOT NULL"), docs.filter("doc_id IS NULL")
-    many = cut(named.groupBy("doc_id").agg(F.count("*").alias("__n")).filter("__n > 1").select("doc_id"))
+    many = packed(named.groupBy("doc_id").agg(F.count("*").alias("__n")).filter("__n > 1").select("doc_id"))
     once = named.join(gone.unionByName(many), "doc_id", "left_anti").select(*columns)
     least = F.min(F.struct(*columns)).alias("__row")
     again = named.join(many.join(gone, "doc_id", "left_anti"), "doc_id", "left_semi").groupBy("doc_id").agg(least)
